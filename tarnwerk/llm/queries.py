@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, superminhash, toxicity, urlrules, wordpieces
+from . import chat, media, packing, quality, suffixes, superminhash, toxicity, urlrules, wordpieces
 
 #: Fixed values of the URL filter's contract: verdict, host, path.
 URL_RULES = (
@@ -34,10 +34,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.texts_as_images(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), urlrules.rule_table(spark, URL_RULES))
 
@@ -60,7 +69,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op3_media_columns, op5_url_filters, op6_toxicity, op9_best_fit_packing, op10_chat_formatting)
+    f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_media_columns, op4_suffix_dedup, op5_url_filters, op6_toxicity, op9_best_fit_packing, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {
