@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, packing, quality, suffixes, superminhash, toxicity, urlrules, wordpieces
+from . import chat, licenses, media, packing, quality, sentencepieces, suffixes, superminhash, toxicity, urlrules, wordpieces
 
 #: Fixed values of the URL filter's contract: verdict, host, path.
 URL_RULES = (
@@ -57,6 +57,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("found", lambda x: F.struct(x["coverage"].alias("coverage"), x["matched"].alias("matched"), x["template"].alias("template"), x["first_byte"].alias("first_byte"), x["end_byte"].alias("end_byte"))))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_stretches"), best.alias("b")).select("doc_id", "n_stretches", F.col("b.template").alias("template"), F.round("b.coverage", 6).alias("coverage"), F.col("b.matched").cast("long").alias("matched_words"), F.col("b.first_byte").alias("first_byte"), F.col("b.end_byte").alias("end_byte"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.encoded(table(spark, sf_dir, "documents"), piece_model())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), wordpieces.word_encoder(word_tokenizer()))
 
@@ -69,7 +86,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_media_columns, op4_suffix_dedup, op5_url_filters, op6_toxicity, op9_best_fit_packing, op10_chat_formatting)
+    f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_media_columns, op4_suffix_dedup, op5_url_filters, op6_toxicity, op7_license_scans, op8_sentencepiece, op9_best_fit_packing, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {
