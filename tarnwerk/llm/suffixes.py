@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .workspace import Workspace, empty, whole
+from .workspace import Workspace, empty, fresh_name, whole
 
 LENGTH, GRAM = 400, 128
 #: Start positions that one slice of a very long text covers.
@@ -369,8 +369,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     if with_text:
         cut = parts.join(copies, "node", "full").select("node", F.when(gone, F.lit("")).otherwise(F.col("rest")).alias("cut"))
         own = F.unhex(F.substring(F.sha2(raw, 256), 1, 32))
-        extra = next(f"cut{i}" for i in range(len(docs.columns) + 1) if f"cut{i}" not in docs.columns)
-        key = next(f"node{i}" for i in range(len(docs.columns) + 1) if f"node{i}" not in docs.columns)
+        extra, key = fresh_name(docs, "cut"), fresh_name(docs, "node")
         joined = docs.withColumn(key, own).join(cut.select(F.col("node").alias(key), F.col("cut").alias(extra)), key, "left")
         return joined.withColumn("text", F.coalesce(extra, "text")).select(*docs.columns)
     out = rows.join(parts.drop("rest"), "node", "left").join(copies, "node", "left")

@@ -33,14 +33,6 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete kept tables that no later step reads."""
-        for df in frames:
-            for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                if at.startswith(self.root) or at.partition("://")[2].startswith(self.root.partition("://")[2] or self.root) or self.root.split("://")[-1].lstrip("/") in at:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
@@ -49,3 +41,11 @@ def empty(df: DataFrame) -> bool:
 def whole(df: DataFrame, name: str, kind: str) -> Column:
     """A column cast to its type, or typed nulls if the table lacks it."""
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
