@@ -80,7 +80,7 @@ def clean_code(c: Column, width: int = 5) -> Column:
 
 def percent_text(c: Column, digits: int = 1) -> Column:
     """A share as text such as ``22.9%``, rounded half to even."""
-    return F.concat(F.format_number(F.bround(c * 100, digits), f"0.{'0' * digits}" if digits else "0"), F.lit("%"))
+    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits))
 
 
 def after_first(c: Column, sign: str = ":") -> Column:

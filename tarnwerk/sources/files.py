@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +24,34 @@ def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
 
 
 def quoted_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with doubled quotes and line ends inside cells; short rows are filled with empty text, blank
-    rows are dropped, blank or repeated headers fail."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", "\0").csv(path)
-    names = [c.lstrip("﻿") for c in df.columns]
-    if any(not c.strip() or c.startswith("_c") for c in names) or len(set(names)) != len(names):
+    """CSV files with doubled quotes, line ends inside cells, and any mix of line ends, as text columns.
+    Short rows are filled with empty text and blank rows dropped; blank or repeated headers, stray and
+    unterminated quotes fail. Each file is parsed as a whole, by the task that reads it."""
+    import csv as parser
+    import io
+
+    def parsed(text: str) -> Iterator[list[str]]:
+        plain = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+        return parser.reader(io.StringIO(plain, newline=""), strict=True)
+
+    files = spark.read.text(path, wholetext=True)
+    first = files.first()
+    names = next(parsed(first["value"]), []) if first else []
+    if any(not c.strip() for c in names) or len(set(names)) != len(names) or not names:
         raise CheckFailed(f"blank or repeated headers: {names}")
-    filled = df.toDF(*names).select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names))
-    return filled.where(F.concat_ws("", *(F.trim(F.col(f"`{c}`")) for c in names)) != "")
+
+    def rows(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            for text in frame["value"]:
+                lines = parsed(text)
+                if next(lines, None) != names:
+                    raise CheckFailed("files differ in their headers")
+                full = [(r + [""] * len(names))[: len(names)] for r in lines if any(c.strip() for c in r)]
+                yield pd.DataFrame(full, columns=names, dtype=str)
+
+    return files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in names))
 
 
 def preamble_csv(spark: SparkSession, path: str, columns: Sequence[str], row_pattern: str = r"^\d{8}:\d{4},", header_start: str = "time,") -> tuple[DataFrame, DataFrame]:
