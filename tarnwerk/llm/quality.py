@@ -26,8 +26,8 @@ STATISTICS: tuple[tuple[str, str, float], ...] = (
     ("x0", "ln(n_words)", 0.5),
     ("x1", "ln(word_chars / n_words)", 0.08),
     ("x2", "ln(1 + 1000 * n_symbols / word_chars)", 0.6),
-    ("x3", "ln(1 + 1000 * n_dup_lines / n_words)", 0.6),
-    ("x4", "ln(1 + 100 * n_repeat_words / n_words)", 0.5),
+    ("x3", "ln(1 + 1000 * n_dup_lines / n_words)", 0.9),
+    ("x4", "ln(1 + 100 * n_repeat_words / n_words)", 0.8),
 )
 NAMES = tuple(n for n, _, _ in STATISTICS)
 #: The median of chi-square with five degrees of freedom.
@@ -103,7 +103,7 @@ def _estimate(chosen: DataFrame) -> DataFrame:
     return out.select("g", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
 
 
-def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3, cutoff: float = 60.0) -> DataFrame:
+def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3, cutoff: float = 45.0) -> DataFrame:
     """The counts of every row of ``docs`` (doc_id, text, lang, source), base_failed, kept and the
     squared robust distance.
 
