@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes of its words, pairs of neighbours and pairs that skip one
-word. Training runs over a bounded, documented sample of labelled rows in one task; per-coordinate
+Features of a text are the distinct hashes of its words, of their stems, of pairs of neighbours and of
+pairs that skip one word. Training runs over a bounded, documented sample of labelled rows in one task; per-coordinate
 rates and the L1 term leave a few thousand weights, which are small enough to ship to every task.
 Scoring covers every whole text.
 """
@@ -19,6 +19,8 @@ from . import textbatch as tb
 from .workspace import whole
 
 BITS = 20
+#: A word's first bytes stand for its inflected forms.
+STEM_BYTES = 5
 
 
 def features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -27,8 +29,10 @@ def features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.
     shift = np.uint64(64 - bits)
     for block in tb.blocks(column):
         starts, ends, text = tb.spans(block, inside)
-        word = tb.span_hash(block.prefix(values), starts, ends)
-        found, owner = [word >> shift], [text]
+        prefix = block.prefix(values)
+        word = tb.span_hash(prefix, starts, ends)
+        stem = tb.span_hash(prefix, starts, np.minimum(ends, starts + STEM_BYTES)) + np.uint64(0x632BE59BD9B4E019)
+        found, owner = [word >> shift, tb.mix(stem) >> shift], [text, text]
         for gap, salt in ((1, 0x51ED2701), (2, 0x7F4A7C15)):
             if len(word) > gap:
                 same = text[:-gap] == text[gap:]
@@ -38,7 +42,7 @@ def features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.
         yield block.first, len(block), np.concatenate(owner), np.concatenate(found).astype(np.int64)
 
 
-def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 3, positive_weight: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
     """FTRL-proximal over rows of distinct feature numbers: bias, indices, weights. Without both
     labels the bias alone carries the share of label 1."""
     if not rows or not any(labels) or all(labels):
@@ -51,7 +55,7 @@ def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: fl
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) > l1, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2), 0.0)
             p = 1.0 / (1.0 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
-            g = p - y
+            g = (p - y) * (positive_weight if y else 1.0)
             z[x] += g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
             n[x] = nx + g * g
             z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / alpha * bias
@@ -62,7 +66,7 @@ def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: fl
     return float(bias), live, w.astype(np.float32)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 12_000, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 16_000, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
     """Train on at most about ``max_rows`` rows of ``labelled`` (doc_id, label), taken by a hash of
     doc_id; texts come from ``docs``. Rows without an id, a label or a text are left out; of several
     labels of one id the largest counts, and of several texts each is a row."""
