@@ -300,9 +300,9 @@ def repeated_spans(texts: DataFrame, work: Workspace, length: int = LENGTH, gram
     own = found.where("own").select("node", F.expr("at - hi").alias("a"), F.expr(f"at - lo + {length}").alias("b"))
     # one row stands for all copies of a text: the one with the least id
     stands = long.groupBy("node").agg(F.min("doc_id").alias("least"))
-    by_node = entries.groupBy("node").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("found")).join(stands, "node").withColumnRenamed("node", "of")
+    by_node = entries.groupBy("node").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("found")).join(own.select("node").distinct(), "node", "full").join(stands, "node").withColumnRenamed("node", "of")
     some = work.keep(long.join(by_node, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text", "found"))
-    contexts = some.mapInArrow(_contexts(length), "gram long, node binary, at long, lo int, hi int, left binary, right binary")
+    contexts = some.where("found is not null").mapInArrow(_contexts(length), "gram long, node binary, at long, lo int, hi int, left binary, right binary")
     large = work.keep(entries.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_entries).select("gram"))
     many = not empty(large)
     usual = contexts.join(large, "gram", "left_anti") if many else contexts
