@@ -11,17 +11,22 @@ from pyspark.sql import functions as F
 
 from tarnwerk.llm import packing, quality, suffixes, superminhash, toxicity, wordpieces
 from tarnwerk.llm.queries import table, word_tokenizer
-from tarnwerk.llm.workspace import Workspace, fresh_name
+from tarnwerk.llm.workspace import Workspace, empty, fresh_name
 
 #: Bytes of a repeated string in the suffix stage: about fifty short words.
 PASSAGE_BYTES, PASSAGE_GRAM = 240, 80
 
 
-def _kept(docs: DataFrame, verdict: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id has a true ``kept``; ids repeat in ``verdict`` as they do in ``docs``."""
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``, null being an id."""
     name = fresh_name(docs, "kept_id")
-    ids = verdict.where("kept").select(F.col(key).alias(name)).distinct()
-    return docs.join(ids, docs[key].eqNullSafe(ids[name]), "left_semi")
+    ids = ids.select(F.col("doc_id").alias(name))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), "left_semi")
+
+
+def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id has a true ``kept``: the rows of one id share one verdict."""
+    return _of(docs, verdict.where("kept"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, superminhash.near_duplicates(docs, words=5, percent=80))
+    """One row of each group stays; of rows that repeat one id only one."""
+    found = superminhash.near_duplicates(docs, words=5, percent=80)
+    ids = Workspace(spark, "kept").keep(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"))
+    again = ids.where("n > 1 and doc_id is not null")
+    if empty(again):
+        return _of(docs, ids)
+    return _of(docs, ids.where("n = 1 or doc_id is null")).union(_of(docs, again).dropDuplicates(["doc_id"]))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
