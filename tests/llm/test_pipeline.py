@@ -20,7 +20,7 @@ def test_stages_and_registration():
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     passage = prose(99, 60)
-    rows = [(i, prose(i, 90) + (passage if i in (3, 4) else ""), "en", "s", 1) for i in range(40)] + [(500, prose(1, 90), "en", "s", 1)] + odd_rows()
+    rows = [(i, prose(i, 90) + (passage if i in (3, 4) else ""), "en", "s", 1) for i in range(40)] + [(500, prose(1, 90), "en", "s", 1)] + [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in odd_rows()]
     docs = spark.createDataFrame(rows, SCHEMA)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -34,6 +34,7 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert kept["toxicity"] == len(rows)
     assert kept["quality"] < kept["toxicity"] and kept["near_dedup"] < kept["quality"] and kept["suffix_dedup"] == kept["near_dedup"]
     got = {r["doc_id"]: r["text"] for r in at.collect()}
+    assert at.where("doc_id = 1005").count() == 1
     assert 1 in got and 500 not in got and passage not in got[3] and passage not in got[4] and got[5 + 5].startswith(prose(10, 90)[:50])
     assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() >= kept["suffix_dedup"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
