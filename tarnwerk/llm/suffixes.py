@@ -313,7 +313,9 @@ def repeated_spans(texts: DataFrame, work: Workspace, length: int = LENGTH, gram
         where = F.struct("node", "a")
         twice = strings.groupBy("h").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y").select("h")
         out = out.union(strings.join(twice, "h").select("node", "a", (F.col("a") + length).alias("b")))
-    return work.keep(out), some.select("node", "text")
+    spans = work.keep(out)
+    work.drop(found, entries)
+    return spans, some
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -363,7 +365,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     rows = work.keep(named.select("doc_id", "node", "sha", F.length("text").cast("long").alias("n_bytes")))
     spans, some = repeated_spans(named.select("node", "doc_id", "text"), work, length, gram, **sizes)
     by_text = spans.groupBy("node").agg(F.collect_set(F.struct("a", "b")).alias("found"))
-    parts = some.join(by_text, "node").mapInArrow(_rest, "node binary, removed long, spans long, sha_rest string, rest string")
+    parts = work.keep(some.select("node", "text").join(by_text, "node").mapInArrow(_rest, "node binary, removed long, spans long, sha_rest string, rest string"))
+    work.drop(some, spans)
     copies = rows.where(F.col("n_bytes") >= length).groupBy("node").agg(F.count("*").alias("copies")).where("copies > 1")
     gone = F.col("copies").isNotNull()
     if with_text:

@@ -19,19 +19,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Written tables: they cut the lineage, and a lost executor costs only its own tasks."""
+    """Written tables: they cut the lineage, and a lost executor costs only its own tasks. They are deleted
+    when no later step reads them, or at the latest when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tarnwerk-{name}-{uuid.uuid4().hex}"
         self.written = 0
+        path, files = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
         self.written += 1
         path = f"{self.root}/{self.written:03d}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._kept_at = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete kept tables that nothing reads any more."""
+        for df in frames:
+            if at := getattr(df, "_kept_at", None):
+                path, files = self._files(at)
+                files.delete(path, True)
 
 
 def empty(df: DataFrame) -> bool:
