@@ -221,32 +221,32 @@ def _morphed(spark, sf_dir) -> DataFrame:
     return timeseries.morph(_series(spark, sf_dir), _factor_rows(spark), ["bucket"], ["t"], ["beam", "diffuse"], {"total": ["beam", "diffuse"]})
 
 
-@query(f"with {_MORPH} select scenario, event_id, bucket, R(t) as t, R(beam) as beam, R(diffuse) as diffuse, R(beam + diffuse) as total from m")
+@query(f"with {_MORPH} select scenario, event_id, bucket, R(t) as t, R(beam) as beam, R(diffuse) as diffuse, R(beam + diffuse) as total from m", 9)
 def morph_series(spark, sf_dir):
     return _morphed(spark, sf_dir).select("scenario", "event_id", "bucket", "t", "beam", "diffuse", "total")
 
 
 @query(f"""with {_MORPH} select scenario, bucket as month, count(*) as rows, R(avg(t - t0)) as mean_shift, R(max(delta)) as delta, R(max(alpha)) as alpha,
-    R(sum(beam) / nullif(sum(beam0), 0)) as beam_ratio, R(sum(diffuse) / nullif(sum(diffuse0), 0)) as diffuse_ratio, cast(0 as bigint) as changed, true as ok from m group by scenario, bucket""")
+    R(sum(beam) / nullif(sum(beam0), 0)) as beam_ratio, R(sum(diffuse) / nullif(sum(diffuse0), 0)) as diffuse_ratio, cast(0 as bigint) as changed, true as ok from m group by scenario, bucket""", 9)
 def pair_invariants(spark, sf_dir):
     return timeseries.pair_invariants(_morphed(spark, sf_dir), _series(spark, sf_dir), ["event_id"], ["scenario"], F.col("bucket"), "t", ["beam", "diffuse"], ["event_type", "ts"])
 
 
 @query(f"""with {_MORPH} select scenario, event_type, count(*) as row_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as "end",
-    R(min(t)) as t_min, R(max(t)) as t_max, R(avg(t)) as t_mean, R(min(beam + diffuse)) as total_min, R(max(beam + diffuse)) as total_max, R(avg(beam + diffuse)) as total_mean from m group by all""", 5)
+    R(min(t)) as t_min, R(max(t)) as t_max, R(avg(t)) as t_mean, R(min(beam + diffuse)) as total_min, R(max(beam + diffuse)) as total_max, R(avg(beam + diffuse)) as total_mean from m group by all""", 9)
 def member_manifest(spark, sf_dir):
     out = timeseries.manifest(_morphed(spark, sf_dir), ["scenario", "event_type"], "ts", ["t", "total"])
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "end")})
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, R((l_quantity + l_discount + l_tax) * 1.05) as south, R((l_quantity + l_discount) * 1.05) as north from lineitem")
+@query("select l_orderkey, l_linenumber, l_partkey, R((l_quantity + l_discount + l_tax) * 1.05) as south, R((l_quantity + l_discount) * 1.05) as north from lineitem", 9)
 def facade_sum(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     out = timeseries.facade_totals(li, F.lit(1.05), {"south": ["l_quantity", "l_discount", "l_tax"], "north": ["l_quantity", "l_discount"]})
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "south", "north")
 
 
-@query("select c_custkey, R(greatest(c_acctbal, 0)) as c_acctbal from customer")
+@query("select c_custkey, R(greatest(c_acctbal, 0)) as c_acctbal from customer", 9)
 def clamp_negative(spark, sf_dir):
     return timeseries.clamp_negative(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])
 
@@ -383,7 +383,7 @@ def share_of_total(spark, sf_dir):
 
 
 @query(f"""with s as ({_STOCK}), t as (select sum(n) as t from s), a as (select region, sum(n) / max(t) as sa from s, t group by all), b as (select segment, sum(n) / max(t) as sb from s, t group by all)
-    select region, segment, R(sa * sb) as share, R(sa * sb * (select t from t)) as dwellings from a cross join b""")
+    select region, segment, R(sa * sb) as share, R(sa * sb * (select t from t)) as dwellings from a cross join b""", 9)
 def type_period_outer_product(spark, sf_dir):
     s = _stock(spark, sf_dir)
     a = alloc.share_within(s.groupBy("region").agg(F.sum("n").alias("n")), [], "n", "sa").select("region", "sa")
@@ -393,7 +393,7 @@ def type_period_outer_product(spark, sf_dir):
 
 
 @query(f"""with w(o_orderpriority, class, weight) as (values {_values(BRIDGE)}), n as (select o_orderpriority, count(*) as n from orders group by all)
-    select class, R(sum(n * weight)) as n from n join w using (o_orderpriority) group by all""")
+    select class, R(sum(n * weight)) as n from n join w using (o_orderpriority) group by all""", 9)
 def bridge_split(spark, sf_dir):
     w = spark.createDataFrame(list(BRIDGE), "o_orderpriority string, class string, weight double")
     n = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").cast("double").alias("n"))
@@ -450,14 +450,14 @@ def _states(spark, sf_dir) -> DataFrame:
     return alloc.capped_states(_allocated(spark, sf_dir), ["region", "segment"], "n", {s: f"rate_{s}" for s in RATES}, YEARS)
 
 
-@query(f"with {_STATES} select region, segment, scenario, R(rate) as rate, state, R(dwellings) as dwellings, n, capped from st")
+@query(f"with {_STATES} select region, segment, scenario, R(rate) as rate, state, R(dwellings) as dwellings, n, capped from st", 9)
 def capped_flow_states(spark, sf_dir):
     return _states(spark, sf_dir)
 
 
 @query(f"""with {_STATES}, x as (select region, scenario, sum(dwellings) as renovated, cast(sum(n) as bigint) as stock, count(*) filter (capped) as caps from st where state = 'renovated' group by all)
     select region, scenario, R(renovated) as renovated, stock, caps, R(renovated / stock) as fraction, case scenario when 'low' then 'below_policy_compatible_trajectory' when 'central' then 'policy_compatible_scenario'
-    else case when caps > 0 then 'accelerated_scenario_with_archetype_caps' else 'accelerated_scenario' end end as status from x""")
+    else case when caps > 0 then 'accelerated_scenario_with_archetype_caps' else 'accelerated_scenario' end end as status from x""", 9)
 def crosscheck_status(spark, sf_dir):
     return alloc.crosscheck(_states(spark, sf_dir), "region", "n")
 
@@ -473,7 +473,7 @@ def _heating(spark, sf_dir) -> DataFrame:
     return fanout.heating(_states(spark, sf_dir), shares, "region", ("heat_pump", "low_energy"))
 
 
-@query(f"with {_STATES}, {_HEAT} select region, segment, scenario, state, variant, R(share) as share, R(variant_dwellings) as variant_dwellings from heat")
+@query(f"with {_STATES}, {_HEAT} select region, segment, scenario, state, variant, R(share) as share, R(variant_dwellings) as variant_dwellings from heat", 9)
 def heating_fanout(spark, sf_dir):
     return _heating(spark, sf_dir).select("region", "segment", "scenario", "state", "variant", "share", "variant_dwellings")
 
@@ -487,7 +487,7 @@ def _cooling(spark, sf_dir) -> DataFrame:
     return fanout.cooling(_states(spark, sf_dir), regions.crossJoin(spark.createDataFrame(list(COOLING), "cooling_case string, active_share double")), "region")
 
 
-@query(f"with {_STATES}, {_COOL} select region, segment, scenario, state, cooling_case, active, R(share) as share, R(variant_dwellings) as variant_dwellings from cool")
+@query(f"with {_STATES}, {_COOL} select region, segment, scenario, state, cooling_case, active, R(share) as share, R(variant_dwellings) as variant_dwellings from cool", 9)
 def cooling_fanout(spark, sf_dir):
     return _cooling(spark, sf_dir).select("region", "segment", "scenario", "state", "cooling_case", "active", "share", "variant_dwellings")
 
@@ -549,7 +549,7 @@ def pv_assignments(spark, sf_dir):
     s as (select region, dwelling_group, 'as_is' as state, 2024 as basis_year, n * 0.4 as dwellings from c union all select region, dwelling_group, 'renovated', 2050, n * 0.6 from c),
     v as (select s.*, i, case when i then rate else 1 - rate end as share, kwp from s join g using (region, basis_year, dwelling_group) cross join (values (false), (true)) as t(i))
     select region, dwelling_group, state, cast(basis_year as bigint) as basis_year, case when i then 'installed' else 'no_pv' end as pv_status, R(share) as share, R(dwellings * share) as variant_dwellings,
-    R(case when i then dwellings * share * kwp / 1000 else 0 end) as capacity_mw from v""")
+    R(case when i then dwellings * share * kwp / 1000 else 0 end) as capacity_mw from v""", 9)
 def pv_rows(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     group = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "house").otherwise("apartment")
