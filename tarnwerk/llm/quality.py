@@ -6,6 +6,10 @@ source by a minimum-covariance-determinant estimate: from medians and absolute d
 concentration steps take the half of the rows (or more) with the smallest distances and estimate mean
 and covariance anew; rows far from that centre by Mahalanobis distance are rejected.
 
+Most texts have no symbols, repeated lines or repeated windows, so those statistics often do not vary
+among the chosen rows. Distances then follow chi-square with as many degrees of freedom as statistics
+vary, and are scaled and cut by that.
+
 Groups only meet in aggregates with partial sums and in histograms of fixed grids, so a group of any
 size is fine, and results don't depend on how rows are dealt.
 """
@@ -21,17 +25,22 @@ from .workspace import Workspace, whole
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: The statistic vector: name, transformation, and the least standard deviation it is taken to have.
+#: The statistic vector: name, transformation, and a standard deviation that is added to the group's own
+#: (by variances). Without it any text with one repeated line or window is infinitely far from a group that
+#: has none; a single event in a text of about 300 words stays within the cutoff.
 STATISTICS: tuple[tuple[str, str, float], ...] = (
-    ("x0", "ln(n_words)", 0.5),
-    ("x1", "ln(word_chars / n_words)", 0.08),
-    ("x2", "ln(1 + 1000 * n_symbols / word_chars)", 0.6),
-    ("x3", "ln(1 + 1000 * n_dup_lines / n_words)", 0.9),
-    ("x4", "ln(1 + 100 * n_repeat_words / n_words)", 0.8),
+    ("x0", "ln(n_words)", 0.1),
+    ("x1", "ln(word_chars / n_words)", 0.01),
+    ("x2", "ln(1 + 1000 * n_symbols / word_chars)", 0.15),
+    ("x3", "ln(1 + 1000 * n_dup_lines / n_words)", 0.4),
+    ("x4", "ln(1 + 100 * n_repeat_words / n_words)", 0.3),
 )
 NAMES = tuple(n for n, _, _ in STATISTICS)
-#: The median of chi-square with five degrees of freedom.
-CHI2_MEDIAN = 4.351460191095526
+#: Medians and 99.99% quantiles of chi-square with one to five degrees of freedom.
+CHI2_MEDIAN = (0.454936, 1.386294, 2.365974, 3.356694, 4.351460)
+CHI2_CUTOFF = (15.136705, 18.420681, 21.107513, 23.512742, 25.744832)
+#: A median distance below this is that of a group whose rows are mostly equal; it scales nothing.
+_LEAST_MEDIAN = 1e-3
 _GRID = 64
 
 
@@ -86,12 +95,15 @@ def _distance(centre: str = "m", factor: str = "l") -> Column:
 
 
 def _estimate(chosen: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of the chosen rows of each group; variances are
-    raised by the least one of each statistic, so the factor always exists."""
+    """Mean, Cholesky factor of the covariance, and number of statistics that vary (at least half as much
+    as the deviation added) of the chosen rows of each group; variances are raised by the added one of each
+    statistic, so the factor always exists."""
     d = len(NAMES)
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES)]
     products = [F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
     out = chosen.groupBy("g").agg(*sums, *products)
+    varying = [(F.col(f"p{i}{i}") - F.col(f"m{i}") * F.col(f"m{i}") > F.lit(STATISTICS[i][2] ** 2 / 4)).cast("int") for i in range(d)]
+    out = out.withColumn("df", F.greatest(reduce(lambda a, b: a + b, varying), F.lit(1)))
     for i in range(d):
         for j in range(i + 1):
             cell = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
@@ -100,16 +112,17 @@ def _estimate(chosen: DataFrame) -> DataFrame:
             for k in range(j):
                 cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cell, F.lit(1e-9))) if i == j else cell / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
+    return out.select("g", "df", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
 
 
-def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3, cutoff: float = 45.0) -> DataFrame:
+def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3) -> DataFrame:
     """The counts of every row of ``docs`` (doc_id, text, lang, source), base_failed, kept and the
     squared robust distance.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. Rows
-    that pass are rejected if their squared distance, scaled so that each group's median is that of
-    chi-square, is above ``cutoff``. A group is a language and source, null ones included; of groups
+    that pass are rejected if their squared distance, scaled up or down so that each group's median is
+    that of chi-square (but for groups whose rows are mostly equal), is above chi-square's 99.99%
+    quantile. A group is a language and source, null ones included; of groups
     with fewer than ``min_group`` rows those of one language are pooled, then all that are left, and
     what still is smaller judges nothing. Null and empty texts have no words and fail the base rule.
     Repeated rows each count. Other columns are ignored; an empty table gives no rows.
@@ -138,9 +151,10 @@ def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: in
         near = x.join(estimate, "g").select("g", *NAMES, _distance().alias("d2"))
         limit = work.keep(_quantile(near, ["g"], closeness, share, "limit"))
         estimate = work.keep(_estimate(near.join(limit, "g").where(closeness <= F.col("limit"))))
-    far = x.join(estimate, "g").select(*measured.columns, "g", _distance().alias("d2"))
+    far = x.join(estimate, "g").select(*measured.columns, "g", "df", _distance().alias("d2"))
     middle = work.keep(_quantile(far, ["g"], closeness, 0.5, "half").join(far.groupBy("g").agg(F.count("*").alias("size")), "g"))
-    scaled = F.col("d2") * F.lit(CHI2_MEDIAN) / F.greatest(F.expm1("half"), F.lit(CHI2_MEDIAN))
-    verdict = far.join(middle, "g").select(*measured.columns, scaled.alias("distance2"), ((F.col("size") < min_group) | (scaled <= cutoff)).alias("kept"))
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("df"))
+    scaled = F.col("d2") * F.when(F.expm1("half") > _LEAST_MEDIAN, at(CHI2_MEDIAN) / F.expm1("half")).otherwise(1.0)
+    verdict = far.join(middle, "g").select(*measured.columns, scaled.alias("distance2"), ((F.col("size") < min_group) | (scaled <= at(CHI2_CUTOFF))).alias("kept"))
     out = verdict.unionByName(measured.where("base_failed").select("*", F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept")))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

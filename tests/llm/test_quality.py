@@ -71,3 +71,17 @@ def test_estimate_is_mean_and_cholesky(spark):
 def test_quantile_is_the_grid_point_above(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(100)], "k string, v double")
     assert quality._quantile(df, ["k"], F.col("v"), 0.5, "q").first()["q"] == pytest.approx(49, abs=1 / 32)
+
+
+def test_repeats_alone_are_rejected(spark):
+    rows = [(i, prose(i, 120 + i % 80), "en", "s", 1) for i in range(200)]
+    for i in range(5):
+        words = prose(7000 + i, 160).split()
+        rows.append((1000 + i, " ".join(words + words[:30]), "en", "s", 1))
+        rows.append((2000 + i, "\n".join(" ".join(words[k : k + 20]) + "\nsame" for k in range(0, 160, 20)), "en", "s", 1))
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i]["kept"] for i in range(200))
+    for i in range(5):
+        repeats, lines = got[1000 + i], got[2000 + i]
+        assert repeats["n_dup_lines"] == 0 and repeats["n_repeat_words"] >= 60 and not repeats["base_failed"] and not repeats["kept"]
+        assert lines["n_dup_lines"] == 7 and lines["n_repeat_words"] == 0 and not lines["kept"]
