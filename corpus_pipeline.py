@@ -6,48 +6,53 @@ predecessor kept, and returns the columns of documents, the last one the packed
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwerk.llm import packing, quality, suffixes, superminhash, toxicity, wordpieces
 from tarnwerk.llm.queries import table, word_tokenizer
-from tarnwerk.llm.workspace import Workspace, empty, fresh_name
+from tarnwerk.llm.workspace import Workspace, digest, empty, fresh_name, whole
 
 #: Bytes of a repeated string in the suffix stage: about fifty short words.
 PASSAGE_BYTES, PASSAGE_GRAM = 240, 80
 
 
-def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, null being an id."""
-    name = fresh_name(docs, "kept_id")
-    ids = ids.select(F.col("doc_id").alias(name))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[name]), "left_semi")
-
-
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id has a true ``kept``: the rows of one id share one verdict."""
-    return _of(docs, verdict.where("kept"))
+def _of(docs: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``docs`` that are in ``rows`` by doc_id, text (its digest) and the columns ``more``, null
+    being a value."""
+    own = {"doc_id": whole(docs, "doc_id", "long"), "digest": digest(docs)} | {c: whole(docs, c, "string") for c in more}
+    names = {c: fresh_name(docs, f"kept_{c}") for c in own}
+    rows = rows.select(*(F.col(c).alias(n) for c, n in names.items()))
+    same = [own[c].eqNullSafe(rows[n]) for c, n in names.items()]
+    return docs.join(rows, reduce(lambda x, y: x & y, same), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return _kept(docs, scored.groupBy("doc_id").agg((F.max("score") < 0.5).alias("kept")))
+    return _of(docs, toxicity.score(docs, model, digests=True).where("score < 0.5"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judged(docs)
-    return _kept(docs, judged.groupBy("doc_id").agg(F.min("kept").alias("kept")))
+    return _of(docs, quality.judged(docs, digests=True).where("kept"), "lang", "source")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays; of rows that repeat one id only one."""
-    found = superminhash.near_duplicates(docs, words=5, percent=80)
-    ids = Workspace(spark, "kept").keep(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"))
-    again = ids.where("n > 1 and doc_id is not null")
+    """One row of each component stays, also where its rows share an id or have none; rows of different
+    components all stay, whatever their ids. Of texts without words only repeats of id and text go."""
+    work = Workspace(spark, "kept")
+    found = superminhash.near_duplicates(docs, words=5, percent=80, digests=True).where("kept")
+    found = work.keep(found.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")))
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("digest", "doc_id", "n")).alias("r")).select("r.*")
+    wordless = found.where("root is null").select("digest", "doc_id", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("n")).alias("n"))
+    rows = work.keep(first.unionByName(wordless))
+    again = rows.where("n > 1")
     if empty(again):
-        return _of(docs, ids)
-    return _of(docs, ids.where("n = 1 or doc_id is null")).union(_of(docs, again).dropDuplicates(["doc_id"]))
+        return _of(docs, rows)
+    name = fresh_name(docs, "text_digest")
+    repeated = _of(docs, again)
+    return _of(docs, rows.where("n = 1")).union(repeated.withColumn(name, digest(repeated)).dropDuplicates(["doc_id", name]).drop(name))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

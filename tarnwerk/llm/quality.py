@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, whole
+from .workspace import Workspace, digest, whole
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -44,23 +44,24 @@ _LEAST_MEDIAN = 1e-3
 _GRID = 64
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, digests: bool = False) -> DataFrame:
     """doc_id, lang, source and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of
-    every row; null texts are empty."""
+    every row; null texts are empty. With ``digests`` the text's digest comes too."""
+    own = ["digest"] if digests else []
     text = F.coalesce(whole(docs, "text", "string"), F.lit(""))
-    base = docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "lang", "string").alias("lang"), whole(docs, "source", "string").alias("source"), text.alias("text"))
+    base = docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "lang", "string").alias("lang"), whole(docs, "source", "string").alias("source"), text.alias("text"), *([digest(docs).alias("digest")] if digests else []))
     words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     solid = F.translate("text", SPACES, "")
     # one row in, one row out: what is exploded is computed once, however often it is read after
     first = base.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", *own,
         F.length(solid).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.explode(F.array(F.struct(words.alias("words"), lines.alias("lines")))).alias("r"),
     )
     second = first.select(
-        "doc_id", "lang", "source", "word_chars", "n_symbols",
+        "doc_id", "lang", "source", *own, "word_chars", "n_symbols",
         F.size("r.words").cast("long").alias("n_words"),
         (F.size("r.lines") - F.size(F.array_distinct("r.lines"))).cast("long").alias("n_dup_lines"),
         F.col("r.words").alias("words"),
@@ -68,10 +69,10 @@ def counts(docs: DataFrame) -> DataFrame:
     windows = F.expr("if(n_words >= 3, transform(sequence(0, cast(n_words as int) - 3), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))), array())")
     third = second.withColumn("h", F.explode(F.array(windows))).drop("words")
     ordered = F.expr("if(size(array_distinct(h)) < size(h), sort_array(transform(h, (x, i) -> struct(x as x, i as i))), cast(array() as array<struct<x:bigint,i:int>>))")
-    fourth = third.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.explode(F.array(ordered)).alias("s"))
+    fourth = third.select("doc_id", "lang", "source", *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.explode(F.array(ordered)).alias("s"))
     twice = "filter(transform(s, (v, k) -> if(v.x <=> get(s, k - 1).x or v.x <=> get(s, k + 1).x, v.i, null)), p -> p is not null)"
     covered = F.expr(f"cast(size(array_distinct(flatten(transform({twice}, p -> array(p, p + 1, p + 2))))) as bigint)")
-    return fourth.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
+    return fourth.select("doc_id", "lang", "source", *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
 def _quantile(df: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
@@ -115,7 +116,7 @@ def _estimate(chosen: DataFrame) -> DataFrame:
     return out.select("g", "df", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
 
 
-def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3) -> DataFrame:
+def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3, digests: bool = False) -> DataFrame:
     """The counts of every row of ``docs`` (doc_id, text, lang, source), base_failed, kept and the
     squared robust distance.
 
@@ -125,11 +126,11 @@ def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: in
     quantile. A group is a language and source, null ones included; of groups
     with fewer than ``min_group`` rows those of one language are pooled, then all that are left, and
     what still is smaller judges nothing. Null and empty texts have no words and fail the base rule.
-    Repeated rows each count. Other columns are ignored; an empty table gives no rows.
+    Repeated rows each count. With ``digests`` the text's digest comes too. Other columns are ignored; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "quality")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    measured = work.keep(counts(docs).withColumn("base_failed", failed))
+    measured = work.keep(counts(docs, digests).withColumn("base_failed", failed))
     passed = measured.where(~F.col("base_failed"))
     known = F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang"))
     place = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"))
@@ -157,4 +158,4 @@ def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: in
     scaled = F.col("d2") * F.when(F.expm1("half") > _LEAST_MEDIAN, at(CHI2_MEDIAN) / F.expm1("half")).otherwise(1.0)
     verdict = far.join(middle, "g").select(*measured.columns, scaled.alias("distance2"), ((F.col("size") < min_group) | (scaled <= at(CHI2_CUTOFF))).alias("kept"))
     out = verdict.unionByName(measured.where("base_failed").select("*", F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept")))
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+    return out.select("doc_id", "lang", "source", *(["digest"] if digests else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .workspace import whole
+from .workspace import digest, whole
 
 BITS = 20
 #: A word's first bytes stand for its inflected forms.
@@ -99,9 +99,10 @@ def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 16_000, bits: int
     return float(w[at == -1][0]) if len(w) else -6.0, at[at >= 0], w[at >= 0].astype(np.float32)
 
 
-def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], bits: int = BITS, digests: bool = False) -> DataFrame:
     """doc_id and score double (0 to 1) of every row of ``docs``: the text alone decides, the empty or
-    null text has the bias's score, repeated rows come back as often. Other columns are ignored."""
+    null text has the bias's score, repeated rows come back as often. With ``digests`` the text's digest
+    comes too. Other columns are ignored."""
     bias, live, weights = model
 
     def run(batches):
@@ -112,9 +113,12 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], bits: in
                 hit = np.flatnonzero(table[found])
                 key = np.unique((owner[hit].astype(np.int64) << bits) | found[hit])
                 total = bias + np.bincount(key >> bits, weights=table[key & ((1 << bits) - 1)].astype(np.float64), minlength=count)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
+                own = [batch.column(k).slice(first, count) for k in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))), *own], names=["doc_id", "score", "digest"][: 2 + len(own)])
 
-    return docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "text", "string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    more = [digest(docs).alias("digest")] if digests else []
+    texts = docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "text", "string").alias("text"), *more)
+    return texts.mapInArrow(run, "doc_id long, score double" + (", digest string" if digests else ""))
 
 
 def held_out(doc_id) -> Column:

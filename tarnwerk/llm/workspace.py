@@ -60,6 +60,11 @@ def whole(df: DataFrame, name: str, kind: str) -> Column:
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def digest(df: DataFrame) -> Column:
+    """A 128-bit digest of the text; null and empty texts differ."""
+    return F.coalesce(F.md5(whole(df, "text", "string").cast("binary")), F.lit(""))
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

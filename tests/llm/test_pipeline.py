@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,17 @@ def test_queries_read_whole_tables(spark, small):
     out = queries.op10_chat_formatting(spark, small)
     convs = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count()
     assert out.count() == convs + 1 and out.where(F.col("conv_id") == -7).first()["loss_chars"] == 21
+
+
+def test_rows_that_share_an_id_have_their_own_verdicts(spark, tmp_path, monkeypatch):
+    texts = {i: prose(i, 90) for i in range(1, 9)}
+    rows = [(None, texts[1]), (None, texts[2]), (None, "qqbad " + texts[3]), (None, "few words"), (7, texts[1] + " end"), (7, texts[4]), (7, texts[4]), (7, texts[5]), (3, texts[6]), (7, texts[6]), (7, "qqbad"), (None, texts[8]), (None, texts[8])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    found = np.unique(np.concatenate([f for _, _, _, f in corpus_pipeline.toxicity.features(pa.array(["qqbad"]))])).astype(np.int64)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learned", lambda *_: (-6.0, found, np.full(len(found), 20.0, np.float32)))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = docs
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.keep_quality, corpus_pipeline.drop_near_duplicates):
+        at = Workspace(spark, "t").keep(stage(spark, at, str(tmp_path)))
+    got = sorted((r["doc_id"] or 0, r["text"][:40]) for r in at.collect())
+    assert got == sorted((i, texts[k][:40]) for i, k in ((7, 1), (0, 2), (7, 4), (7, 5), (3, 6), (0, 8)))
