@@ -44,7 +44,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.cut_repeats(table(spark, sf_dir, "documents"))
+    return suffixes.cut_repeats(table(spark, sf_dir, "documents"), gram=suffixes.PASSAGE_GRAM, passage=suffixes.PASSAGE)
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
