@@ -15,9 +15,6 @@ from tarnwerk.llm import packing, quality, suffixes, superminhash, toxicity, wor
 from tarnwerk.llm.queries import table, word_tokenizer
 from tarnwerk.llm.workspace import Workspace, digest, empty, fresh_name, whole
 
-#: Bytes of a repeated string in the suffix stage: about fifty short words.
-PASSAGE_BYTES, PASSAGE_GRAM = 240, 80
-
 
 def _of(docs: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
     """Rows of ``docs`` that are in ``rows`` by doc_id, text (its digest) and the columns ``more``, null
@@ -56,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.cut_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM, with_text=True)
+    cut = suffixes.cut_repeats(docs, suffixes.PASSAGE, suffixes.PASSAGE_GRAM, with_text=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
