@@ -340,7 +340,7 @@ def _strings(lengths: tuple[int, ...]):
     return run
 
 
-def repeated_spans(texts: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, batch_entries: int = 2048, shard_entries: int = 16_384, group_entries: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(texts: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM, batch_entries: int = 1024, shard_entries: int = 16_384, group_entries: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Bytes that are covered by strings of ``lengths[k]`` bytes which start at two places or more.
 
     ``texts`` is (node binary, doc_id long, text binary); rows of one node have the same text; ``lengths``
