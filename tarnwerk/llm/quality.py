@@ -2,13 +2,21 @@
 
 All of it is DataFrame expressions. The counts of a text are computed inside its row with array
 functions. The statistic vectors of texts that pass the base rules are then judged per language and
-source by a minimum-covariance-determinant estimate: from medians and absolute deviations, a few
-concentration steps take the half of the rows (or more) with the smallest distances and estimate mean
-and covariance anew; rows far from that centre by Mahalanobis distance are rejected.
-
-Most texts have no symbols, repeated lines or repeated windows, so those statistics often do not vary
-among the chosen rows. Distances then follow chi-square with as many degrees of freedom as statistics
-vary, and are scaled and cut by that.
+source by a minimum-covariance-determinant estimate. For every group:
+
+1. Three starts: medians with absolute deviations, and around them the correlations of hyperbolic
+   tangents and of spatial signs.
+2. Concentration steps: the three quarters of the rows that are nearest give the next mean and
+   covariance. After two steps of each start the one with the least determinant goes on, until the
+   determinant no longer falls.
+3. Consistency: the covariance is scaled so that the median distance is that of chi-square.
+4. Small groups: a group's estimate is averaged with its language's, and that with the one over all, in
+   proportion to the rows behind them, so that groups of every size are judged.
+5. Rows are rejected by Mahalanobis distance.
+
+Most texts have no symbols, repeated lines or repeated windows, so in most groups those statistics don't
+vary among the nearest rows, and the covariance is singular. Only such a statistic gets a deviation from
+the list below, and is independent of the others.
 
 Groups only meet in aggregates with partial sums and in histograms of fixed grids, so a group of any
 size is fine, and results don't depend on how rows are dealt.
@@ -18,30 +26,34 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, digest, whole
+from .workspace import Workspace, digest, empty, whole
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: The statistic vector: name, transformation, and a standard deviation that is added to the group's own
-#: (by variances). Without it any text with one repeated line or window is infinitely far from a group that
-#: has none; a single event in a text of about 300 words stays within the cutoff.
+#: The statistic vector: name, transformation, and the deviation it has where it doesn't vary. For x2 to x4 that
+#: deviation is the transformed limit of well-known repetition and symbol rules over the root of the cutoff, so
+#: that a statistic alone rejects from there on: a symbol for every ten words (of six signs), three lines of ten
+#: repeated (of fifteen words), a fifth of the words in repeated windows.
 STATISTICS: tuple[tuple[str, str, float], ...] = (
     ("x0", "ln(n_words)", 0.1),
     ("x1", "ln(word_chars / n_words)", 0.01),
-    ("x2", "ln(1 + 1000 * n_symbols / word_chars)", 0.15),
-    ("x3", "ln(1 + 1000 * n_dup_lines / n_words)", 0.4),
-    ("x4", "ln(1 + 100 * n_repeat_words / n_words)", 0.3),
+    ("x2", "ln(1 + 1000 * n_symbols / word_chars)", 0.566),
+    ("x3", "ln(1 + 1000 * n_dup_lines / n_words)", 0.600),
+    ("x4", "ln(1 + 100 * n_repeat_words / n_words)", 0.600),
 )
 NAMES = tuple(n for n, _, _ in STATISTICS)
-#: Medians and 99.99% quantiles of chi-square with one to five degrees of freedom.
+FLOORS = tuple(f for _, _, f in STATISTICS)
+D = len(NAMES)
+#: Medians of chi-square with one to five degrees of freedom, and the 99.99% quantile with five.
 CHI2_MEDIAN = (0.454936, 1.386294, 2.365974, 3.356694, 4.351460)
-CHI2_CUTOFF = (15.136705, 18.420681, 21.107513, 23.512742, 25.744832)
-#: A median distance below this is that of a group whose rows are mostly equal; it scales nothing.
-_LEAST_MEDIAN = 1e-3
-_GRID = 64
+CUTOFF = 25.744832
+#: Histogram cells a unit.
+_GRID = 128
+#: The lower triangle of a matrix of the statistics.
+_CELLS = tuple((i, j) for i in range(D) for j in range(i + 1))
 
 
 def counts(docs: DataFrame, digests: bool = False) -> DataFrame:
@@ -76,86 +88,166 @@ def counts(docs: DataFrame, digests: bool = False) -> DataFrame:
 
 
 def _quantile(df: DataFrame, keys: list[str], value: Column, share: float, name: str) -> DataFrame:
-    """The least grid point of ``value`` below or at which ``share`` of each group's rows lie."""
-    binned = df.groupBy(*keys, F.floor(value * _GRID).alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    run = binned.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return run.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg((F.min("bin") + 1).alias("bin")).select(*keys, (F.col("bin") / _GRID).alias(name))
-
-
-def _distance(centre: str = "m", factor: str = "l") -> Column:
-    """Squared Mahalanobis distance from the columns of a Cholesky factor: forward substitution."""
-    d = len(NAMES)
-    solved: list[Column] = []
-    for i in range(d):
-        rest = F.col(NAMES[i]) - F.col(f"{centre}{i}")
+    """The least value (to a straight line within its cell of the grid) below or at which ``share`` of each
+    group's rows lie. Cells are counted before they meet in their group, which then has one row a cell."""
+    cells = df.groupBy(*keys, F.floor(value * _GRID).alias("cell")).agg(F.count("*").alias("n"))
+    sorted_cells = F.expr("sort_array(collect_list(struct(cell, n)))")
+    lists = cells.groupBy(*keys).agg(sorted_cells.alias("cells"), F.ceil(F.sum("n") * share).alias("need"))
+    walk = F.expr(f"aggregate(cells, named_struct('upto', 0L, 'at', cast(null as double)), (s, x) -> named_struct('upto', s.upto + x.n, 'at', coalesce(s.at, if(s.upto + x.n >= need, (x.cell + (need - s.upto) / cast(x.n as double)) / {_GRID}, null)))).at")
+    return lists.select(*keys, walk.alias(name))
+
+
+def _computed(df: DataFrame) -> DataFrame:
+    """The same rows, exploded one to one: what they hold is computed once and not inlined where it is read."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+
+
+def _factor(df: DataFrame) -> DataFrame:
+    """With the Cholesky factor l of the covariance c: statistics that vary less than their floor (v false)
+    have the floor's variance and no covariances. ``logdet`` is the logarithm of the determinant."""
+    vary = [F.col(f"c{i}{i}") >= F.lit(FLOORS[i] ** 2) for i in range(D)]
+    df = _computed(_computed(df).withColumns({f"v{i}": v for i, v in enumerate(vary)}))
+
+    def cell(i: int, j: int) -> Column:
+        if i == j:
+            return F.when(F.col(f"v{i}"), F.col(f"c{i}{i}")).otherwise(FLOORS[i] ** 2)
+        return F.when(F.col(f"v{i}") & F.col(f"v{j}"), F.col(f"c{i}{j}")).otherwise(0.0)
+
+    def row(done: Column, i: Column | int) -> Column:
+        return F.slice(done, (i * (i + 1) / 2).cast("int") + 1, F.lit(D))
+
+    def add(done: Column, x: Column) -> Column:
+        inner = F.aggregate(F.slice(F.zip_with(row(done, x["i"]), row(done, x["j"]), lambda p, q: p * q), 1, x["j"]), F.lit(0.0), lambda a, b: a + b)
+        rest = x["c"] - inner
+        pivot = F.sqrt(F.greatest(rest, x["c"] * 1e-6))
+        return F.concat(done, F.array(F.when(x["i"] == x["j"], pivot).otherwise(rest / F.element_at(row(done, x["j"]), x["j"] + 1))))
+
+    # row by row, each cell from those before it
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), cell(i, j).alias("c")) for i, j in _CELLS))
+    df = _computed(df.withColumn("l", F.aggregate(cells, F.array().cast("array<double>"), add)))
+    df = df.withColumns({f"l{i}{j}": F.col("l")[k] for k, (i, j) in enumerate(_CELLS)}).drop("l")
+    return df.withColumn("logdet", reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(D)]))
+
+
+def _solved() -> list[Column]:
+    """Coordinates whose squares add up to the Mahalanobis distance: forward substitution."""
+    out: list[Column] = []
+    for i in range(D):
+        rest = F.col(NAMES[i]) - F.col(f"m{i}")
         for j in range(i):
-            rest = rest - F.col(f"{factor}{i}{j}") * solved[j]
-        solved.append(rest / F.col(f"{factor}{i}{i}"))
-    return reduce(lambda a, b: a + b, [s * s for s in solved])
+            rest = rest - F.col(f"l{i}{j}") * out[j]
+        out.append(rest / F.col(f"l{i}{i}"))
+    return out
+
+
+def _distance() -> Column:
+    return reduce(lambda a, b: a + b, [s * s for s in _solved()])
 
 
-def _estimate(chosen: DataFrame) -> DataFrame:
-    """Mean, Cholesky factor of the covariance, and number of statistics that vary (at least half as much
-    as the deviation added) of the chosen rows of each group; variances are raised by the added one of each
-    statistic, so the factor always exists."""
-    d = len(NAMES)
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Number, mean m and covariance c of each group's rows."""
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES)]
-    products = [F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)]
-    out = chosen.groupBy("g").agg(*sums, *products)
-    varying = [(F.col(f"p{i}{i}") - F.col(f"m{i}") * F.col(f"m{i}") > F.lit(STATISTICS[i][2] ** 2 / 4)).cast("int") for i in range(d)]
-    out = out.withColumn("df", F.greatest(reduce(lambda a, b: a + b, varying), F.lit(1)))
-    for i in range(d):
-        for j in range(i + 1):
-            cell = F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                cell = F.greatest(cell, F.lit(0.0)) + F.lit(STATISTICS[i][2] ** 2)
-            for k in range(j):
-                cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cell, F.lit(1e-9))) if i == j else cell / F.col(f"l{j}{j}"))
-    return out.select("g", "df", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
-
-
-def judged(docs: DataFrame, min_group: int = 100, share: float = 0.75, steps: int = 3, digests: bool = False) -> DataFrame:
-    """The counts of every row of ``docs`` (doc_id, text, lang, source), base_failed, kept and the
+    products = [F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"c{i}{j}") for i, j in _CELLS]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
+    return out.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _CELLS})
+
+
+def _starts(x: DataFrame, work: Workspace) -> DataFrame:
+    """Three estimates a group to start from: (g, s, m, c, l, v, logdet)."""
+    long = x.select("g", F.posexplode(F.array(*NAMES)).alias("k", "v"))
+    middle = work.keep(_quantile(long, ["g", "k"], F.col("v"), 0.5, "m"))
+    spread = _quantile(long.join(middle, ["g", "k"]), ["g", "k"], F.abs(F.col("v") - F.col("m")), 0.5, "s")
+    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("k") + 1)
+    both = middle.join(spread, ["g", "k"]).withColumn("s", F.greatest(F.col("s") * 1.4826, floor))
+    base = work.keep(both.groupBy("g").agg(*(F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}{i}") for c in "ms" for i in range(D))))
+    z = [(F.col(NAMES[i]) - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(D)]
+    size = F.sqrt(reduce(lambda a, b: a + b, [c * c for c in z]))
+    bent = x.join(base, "g").select("g", *(F.tanh(c).alias(f"t{i}") for i, c in enumerate(z)), *((c / F.greatest(size, F.lit(1e-9))).alias(f"u{i}") for i, c in enumerate(z)))
+    scatter = bent.groupBy("g").agg(*(F.avg(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{c}{i}{j}") for c in "tu" for i, j in _CELLS))
+    wide = base.join(scatter, "g")
+    out = []
+    for s, c in enumerate((None, "t", "u")):
+        def cell(i: int, j: int, c: str | None = c) -> Column:
+            if i == j or c is None:
+                return F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)
+            scale = F.sqrt(F.col(f"{c}{i}{i}") * F.col(f"{c}{j}{j}"))
+            return F.when(scale > 1e-9, F.col(f"{c}{i}{j}") / scale).otherwise(0.0) * F.col(f"s{i}") * F.col(f"s{j}")
+
+        out.append(_factor(wide.select("g", F.lit(s).alias("s"), *(f"m{i}" for i in range(D)), *(cell(i, j).alias(f"c{i}{j}") for i, j in _CELLS))))
+    return work.keep(reduce(DataFrame.union, out))
+
+
+def _step(x: DataFrame, estimate: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """A concentration step: the estimate of the ``share`` of each group's rows that are nearest."""
+    near = x.join(estimate, "g").select(*keys, *NAMES, F.log1p(_distance()).alias("close"))
+    limit = _quantile(near, keys, F.col("close"), share, "limit")
+    return _factor(_moments(near.join(limit, keys).where("close <= limit"), keys))
+
+
+def least_determinants(x: DataFrame, work: Workspace, share: float = 0.75, most_steps: int = 50) -> DataFrame:
+    """For each group g of ``x`` (g, x0 to x4) the mean m and covariance c of its nearest ``share`` of rows with
+    the least determinant that the starts lead to, not scaled yet, and the Cholesky factor l. Steps end
+    when no group's determinant falls; ``most_steps`` only guards against rounding that goes round."""
+    tried = _starts(x, work)
+    for _ in range(2):
+        tried = work.keep(_step(x, tried, ["g", "s"], share))
+
+    def least(found: DataFrame, *ties: str) -> DataFrame:
+        fields = [c for c in found.columns if c not in ("g", *ties)]
+        return found.groupBy("g").agg(F.min_by(F.struct(*fields), F.struct("logdet", *ties)).alias("r")).select("g", "r.*")
+
+    going = work.keep(least(tried, "s"))
+    found = [going]
+    for _ in range(most_steps):
+        old = going.select("g", F.col("logdet").alias("before"))
+        going = work.keep(_step(x, going, ["g"], share).join(old, "g").where(F.col("logdet") < F.col("before") - 1e-9).drop("before"))
+        if empty(going):
+            break
+        found.append(going)
+    return work.keep(least(reduce(DataFrame.unionByName, found)))
+
+
+def estimates(x: DataFrame, work: Workspace, weight: int, share: float = 0.75) -> DataFrame:
+    """The consistent estimate of each group g (with its language a): m, c, l, v. Each is the average of its own
+    and its language's by their rows, the language counting as ``weight`` rows; a language's is the
+    average over its groups and, with ``weight`` rows again, over all groups."""
+    raw = least_determinants(x, work, share)
+    varying = reduce(lambda a, b: a + b, [F.when(F.col(f"v{i}"), s * s).otherwise(0.0) for i, s in enumerate(_solved())])
+    half = _quantile(x.join(raw, "g").select("g", F.log1p(varying).alias("close")), ["g"], F.col("close"), 0.5, "half")
+    degrees = reduce(lambda a, b: a + b, [F.col(f"v{i}").cast("int") for i in range(D)])
+    usual = F.when(degrees > 0, F.element_at(F.array(*map(F.lit, CHI2_MEDIAN)), F.greatest(degrees, F.lit(1))))
+    scale = F.coalesce(F.expm1("half") / usual, F.lit(1.0))
+    sizes = x.groupBy("g").agg(F.first("a").alias("a"), F.count("*").alias("rows"))
+    cells = [f"m{i}" for i in range(D)] + [f"c{i}{j}" for i, j in _CELLS]
+    own = raw.join(half, "g").withColumn("scale", scale).withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * F.col("scale") for i, j in _CELLS})
+    own = work.keep(own.join(sizes, "g").select("g", "a", "rows", *cells))
+    sums = own.groupBy("a").agg(F.sum("rows").alias("all"), *(F.sum(F.col(c) * F.col("rows")).alias(f"{c}_") for c in cells))
+    one = sums.agg(F.sum("all").alias("all"), *(F.sum(f"{c}_").alias(c) for c in cells)).first()  # a single row of a few numbers
+    whole_of = {c: (one[c] / one["all"] if one["all"] else 0.0) for c in cells}
+    languages = sums.select("a", *(((F.col(f"{c}_") + F.lit(weight * whole_of[c])) / (F.col("all") + weight)).alias(f"{c}_") for c in cells))
+    mixed = own.join(languages, "a").select("g", *(((F.col(c) * F.col("rows") + F.col(f"{c}_") * weight) / (F.col("rows") + weight)).alias(c) for c in cells))
+    return work.keep(_factor(mixed))
+
+
+def judged(docs: DataFrame, weight: int = 50, share: float = 0.75, digests: bool = False) -> DataFrame:
+    """The counts of every row of ``docs`` (doc_id, text, lang, source), base_failed, kept and distance2, the
     squared robust distance.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated 3-word windows. Rows
-    that pass are rejected if their squared distance, scaled up or down so that each group's median is
-    that of chi-square (but for groups whose rows are mostly equal), is above chi-square's 99.99%
-    quantile. A group is a language and source, null ones included; of groups
-    with fewer than ``min_group`` rows those of one language are pooled, then all that are left, and
-    what still is smaller judges nothing. Null and empty texts have no words and fail the base rule.
-    Repeated rows each count. With ``digests`` the text's digest comes too. Other columns are ignored; an empty table gives no rows.
+    that pass are rejected if their squared distance is above the 99.99% quantile of chi-square with five
+    degrees of freedom. A group is a language and source, null ones included; every group is
+    judged, by an estimate to which its language counts as ``weight`` rows. Null and empty texts have no
+    words and fail the base rule. Repeated rows each count. With ``digests`` the text's digest comes
+    too. Other columns are ignored; an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "quality")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     measured = work.keep(counts(docs, digests).withColumn("base_failed", failed))
     passed = measured.where(~F.col("base_failed"))
-    known = F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("no_lang"))
-    place = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"))
-    size = passed.groupBy(known.alias("a"), place.alias("b")).agg(F.count("*").alias("n"))
-    size = size.withColumn("rest", F.sum(F.when(F.col("n") < min_group, F.col("n")).otherwise(0)).over(Window.partitionBy("a")))
-    full, lang = F.to_json(F.struct("a", "b")), F.to_json("a")
-    groups = work.keep(size.select("a", "b", F.when(F.col("n") >= min_group, full).when(F.col("rest") >= min_group, lang).otherwise(F.lit("")).alias("g")))
-    x = passed.select("doc_id", known.alias("a"), place.alias("b"), *(c for c in measured.columns if c not in ("doc_id",)), *(F.expr(e).alias(n) for n, e, _ in STATISTICS)).join(groups, ["a", "b"]).drop("a", "b")
-    x = work.keep(x)
-    # coordinate-wise medians and deviations to start from
-    d = len(NAMES)
-    long = x.select("g", F.posexplode(F.array(*NAMES)).alias("k", "v"))
-    middle = work.keep(_quantile(long, ["g", "k"], F.col("v"), 0.5, "m"))
-    spread = work.keep(_quantile(long.join(middle, ["g", "k"]), ["g", "k"], F.abs(F.col("v") - F.col("m")), 0.5, "s"))
-    start = middle.join(spread, ["g", "k"]).groupBy("g").agg(*(F.max(F.when(F.col("k") == i, F.col("m"))).alias(f"m{i}") for i in range(d)), *(F.max(F.when(F.col("k") == i, F.greatest(F.col("s") * 1.4826, F.lit(STATISTICS[i][2])))).alias(f"l{i}{i}") for i in range(d)))
-    estimate = work.keep(start.withColumns({f"l{i}{j}": F.lit(0.0) for i in range(d) for j in range(i)}))
-    closeness = F.log1p("d2")
-    for _ in range(steps):
-        near = x.join(estimate, "g").select("g", *NAMES, _distance().alias("d2"))
-        limit = work.keep(_quantile(near, ["g"], closeness, share, "limit"))
-        estimate = work.keep(_estimate(near.join(limit, "g").where(closeness <= F.col("limit"))))
-    far = x.join(estimate, "g").select(*measured.columns, "g", "df", _distance().alias("d2"))
-    middle = work.keep(_quantile(far, ["g"], closeness, 0.5, "half").join(far.groupBy("g").agg(F.count("*").alias("size")), "g"))
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("df"))
-    scaled = F.col("d2") * F.when(F.expm1("half") > _LEAST_MEDIAN, at(CHI2_MEDIAN) / F.expm1("half")).otherwise(1.0)
-    verdict = far.join(middle, "g").select(*measured.columns, scaled.alias("distance2"), ((F.col("size") < min_group) | (scaled <= at(CHI2_CUTOFF))).alias("kept"))
+    lang = F.to_json(F.struct(F.col("lang").alias("v")))
+    both = F.to_json(F.struct(F.col("lang").alias("v"), F.col("source").alias("w")))
+    x = work.keep(passed.select(*measured.columns, lang.alias("a"), both.alias("g"), *(F.expr(e).alias(n) for n, e, _ in STATISTICS)))
+    far = x.join(estimates(x.select("a", "g", *NAMES), work, weight, share), "g")
+    verdict = far.select(*measured.columns, _distance().alias("distance2")).withColumn("kept", F.col("distance2") <= CUTOFF)
     out = verdict.unionByName(measured.where("base_failed").select("*", F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept")))
     return out.select("doc_id", "lang", "source", *(["digest"] if digests else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")

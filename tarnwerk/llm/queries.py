@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, licenses, media, packing, quality, sentencepieces, suffixes, superminhash, toxicity, urlrules, wordpieces
+from .workspace import spread
 
 #: Fixed values of the URL filter's contract: verdict, host, path.
 URL_RULES = (
@@ -21,7 +22,9 @@ URL_RULES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if name == "documents" else df
 
 
 def word_tokenizer() -> str:

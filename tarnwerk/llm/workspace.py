@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``. Only a local session may do without one: it has a single machine
+    and gets a folder in its warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tarnwerk-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir isn't set: steps are written to the folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarnwerk-steps"
 
 
 class Workspace:
@@ -51,6 +53,15 @@ class Workspace:
                 files.delete(path, True)
 
 
+def spread(df: DataFrame, path: str, least_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, read from ``path``; a table of less than ``least_bytes`` has few row groups, and tasks, and is
+    dealt to all cores. A larger one stays as it is read."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < least_bytes else df
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
 

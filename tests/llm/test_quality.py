@@ -1,10 +1,12 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwerk.llm import quality
+from tarnwerk.llm.workspace import Workspace
 
 from .helpers import SCHEMA, clashing, odd_rows, prose
 
@@ -35,18 +37,23 @@ def corpus(spark):
     return spark.createDataFrame(rows + odd_rows(), SCHEMA)
 
 
-def test_outliers_go_and_clean_texts_stay(corpus):
-    got = {r["doc_id"]: r for r in quality.judged(corpus).where("doc_id is not null").collect()}
+@pytest.fixture(scope="module")
+def verdicts(corpus):
+    return quality.judged(corpus, digests=True).collect()
+
+
+def test_outliers_go_and_clean_texts_stay(verdicts):
+    got = {r["doc_id"]: r for r in verdicts if r["doc_id"] is not None}
     assert all(got[i]["kept"] for i in range(300) if i > 9)
     assert not any(got[1000 + i]["kept"] for i in range(20))
-    assert all(got[2000 + i]["kept"] for i in range(10))  # too few to judge
+    assert all(got[2000 + i]["kept"] for i in range(10))  # groups of one row, judged by their language too
     assert got[1]["base_failed"] and not got[1]["kept"] and got[4]["base_failed"]
 
 
-def test_every_row_comes_back(spark, corpus):
-    assert quality.judged(corpus).count() == corpus.count()
+def test_every_row_comes_back(spark, corpus, verdicts):
+    assert len(verdicts) == corpus.count()
     assert quality.judged(corpus.limit(0)).count() == 0
-    assert quality.judged(corpus.select("doc_id", "text")).count() == corpus.count()
+    assert quality.judged(corpus.select("doc_id", "text").limit(60)).count() == 60
 
 
 def test_plan_has_no_python(corpus):
@@ -54,23 +61,143 @@ def test_plan_has_no_python(corpus):
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
 
 
-def test_estimate_is_mean_and_cholesky(spark):
-    import numpy as np
+def vectors(spark, groups):
+    rows = [(a, g, *map(float, r)) for (a, g), x in groups.items() for r in x]
+    return spark.createDataFrame(rows, "a string, g string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+
 
+def quantile(values, share):
+    """The rule of the histogram: a straight line within the cell that holds the wanted row."""
+    cell = np.floor(np.asarray(values) * quality._GRID)
+    need, upto = int(np.ceil(len(cell) * share)), 0
+    for c in np.unique(cell):
+        n = int((cell == c).sum())
+        if upto + n >= need:
+            return (c + (need - upto) / n) / quality._GRID
+        upto += n
+
+
+def cholesky(c):
+    floors = np.array(quality.FLOORS)
+    v = np.diag(c) >= floors**2
+    full = np.where(np.outer(v, v), c, 0.0)
+    full[np.diag_indices(5)] = np.where(v, np.diag(c), floors**2)
+    out = np.zeros((5, 5))
+    for i in range(5):
+        for j in range(i + 1):
+            rest = full[i, j] - out[i, :j] @ out[j, :j]
+            out[i, j] = np.sqrt(max(rest, full[i, i] * 1e-6)) if i == j else rest / out[j, j]
+    return v, out
+
+
+def squares(x, m, factor):
+    return np.linalg.solve(factor, (x - m).T).T ** 2
+
+
+def plain_mcd(x, share=0.75):
+    """(mean, covariance, its factor) of the concentrated rows with the least determinant."""
+    m = np.array([quantile(x[:, i], 0.5) for i in range(5)])
+    s = np.maximum([1.4826 * quantile(abs(x[:, i] - m[i]), 0.5) for i in range(5)], quality.FLOORS)
+    z = (x - m) / s
+    tried = []
+    for bent in (None, np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]):
+        cor = np.eye(5)
+        if bent is not None:
+            p = bent.T @ bent / len(x)
+            scale = np.sqrt(np.outer(np.diag(p), np.diag(p)))
+            cor = np.where(scale > 1e-9, p / np.maximum(scale, 1e-9), 0.0)
+            np.fill_diagonal(cor, 1.0)
+        tried.append((m, cor * np.outer(s, s)))
+
+    def step(m, c):
+        close = np.log1p(squares(x, m, cholesky(c)[1]).sum(axis=1))
+        near = x[close <= quantile(close, share)]
+        return near.mean(axis=0), np.cov(near.T, bias=True)
+
+    def size(e):
+        return 2 * np.log(np.diag(cholesky(e[1])[1])).sum()
+
+    best = min((step(*step(*e)) for e in tried), key=size)
+    while size(after := step(*best)) < size(best) - 1e-9:
+        best = after
+    return best
+
+
+def random_groups():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5))
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{n} double" for n in quality.NAMES))
-    est = quality._estimate(df)
-    cov = np.cov(x.T, bias=True) + np.diag([s[2] ** 2 for s in quality.STATISTICS])
-    row = df.limit(20).join(est, "g").select(*quality.NAMES, quality._distance().alias("d2")).collect()
-    for r in row:
-        v = np.array([r[n] for n in quality.NAMES]) - x.mean(0)
-        assert r["d2"] == pytest.approx(v @ np.linalg.solve(cov, v), rel=1e-6)
-
-
-def test_quantile_is_the_grid_point_above(spark):
-    df = spark.createDataFrame([("a", float(i)) for i in range(100)], "k string, v double")
-    assert quality._quantile(df, ["k"], F.col("v"), 0.5, "q").first()["q"] == pytest.approx(49, abs=1 / 32)
+    out = {}
+    for i, n in enumerate((700, 400, 90)):
+        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) + rng.normal(size=5) * 3
+        x[: n // 8] = rng.normal(size=(n // 8, 5)) * 0.3 + 25
+        out["de" if i else "en", f"g{i}"] = x
+    x = rng.normal(size=(500, 5)) * [1, 0.5, 0, 0, 1]
+    x[:40, 2] = 5
+    x[100:160, 3] = 1
+    out["de", "flat"] = x
+    return out
+
+
+def test_estimate_equals_plain_mcd(spark):
+    groups = random_groups()
+    df = vectors(spark, groups)
+    got = {r["g"]: r for r in quality.least_determinants(df.drop("a"), Workspace(spark, "test")).collect()}
+    assert len(got) == len(groups)
+    for (_, g), x in groups.items():
+        m, c = plain_mcd(x)
+        assert [got[g][f"m{i}"] for i in range(5)] == pytest.approx(m, abs=1e-7)
+        assert [got[g][f"c{i}{j}"] for i, j in quality._CELLS] == pytest.approx([c[i, j] for i, j in quality._CELLS], abs=1e-6)
+        v, factor = cholesky(c)
+        assert [got[g][f"v{i}"] for i in range(5)] == v.tolist()
+        assert got[g]["logdet"] == pytest.approx(2 * np.log(np.diag(factor)).sum(), abs=1e-6)
+        # no random start of the plain algorithm finds a clearly smaller determinant
+        rng = np.random.default_rng(5)
+        for _ in range(10):
+            some = x[rng.choice(len(x), 30, replace=False)]
+            e = some.mean(axis=0), np.cov(some.T, bias=True)
+            for _ in range(15):
+                close = squares(x, e[0], cholesky(e[1])[1]).sum(axis=1)
+                near = x[np.argsort(close)[: int(np.ceil(len(x) * 0.75))]]
+                e = near.mean(axis=0), np.cov(near.T, bias=True)
+            assert got[g]["logdet"] < 2 * np.log(np.diag(cholesky(e[1])[1])).sum() + 0.2
+
+
+def test_distances_are_consistent_and_small_groups_lean_on_their_language(spark):
+    groups = random_groups()
+    rng = np.random.default_rng(4)
+    groups = {("en", "big"): rng.normal(size=(3000, 5)) @ np.array(rng.normal(size=(5, 5))), ("en", "tiny"): rng.normal(size=(2, 5)), **{k: v for k, v in groups.items() if k[0] == "de"}}
+    df = vectors(spark, groups)
+    est = quality.estimates(df, Workspace(spark, "test"), 50).cache()
+    far = df.join(est, "g").select("g", quality._distance().alias("d2")).toPandas()
+    big = far[far.g == "big"].d2
+    assert np.median(big) == pytest.approx(quality.CHI2_MEDIAN[4], rel=0.05)
+    assert (big > quality.CUTOFF).mean() < 0.002
+    rows = {r["g"]: r for r in est.collect()}
+    sizes = {g: len(x) for (_, g), x in groups.items()}
+    raw = {}
+    for (a, g), x in groups.items():
+        m, c = plain_mcd(x)
+        v, factor = cholesky(c)
+        half = np.expm1(quantile(np.log1p((squares(x, m, factor) * v).sum(axis=1)), 0.5))
+        raw[g] = a, np.append(m, c[np.tril_indices(5)] * (half / quality.CHI2_MEDIAN[v.sum() - 1] if v.any() else 1.0))
+    overall = sum(raw[g][1] * sizes[g] for g in raw) / sum(sizes.values())
+    for g, (a, own) in raw.items():
+        mine = [h for h in raw if raw[h][0] == a]
+        n = sum(sizes[h] for h in mine)
+        language = (sum(raw[h][1] * sizes[h] for h in mine) + 50 * overall) / (n + 50)
+        want = (own * sizes[g] + language * 50) / (sizes[g] + 50)
+        assert [rows[g][f"m{i}"] for i in range(5)] + [rows[g][f"c{i}{j}"] for i, j in quality._CELLS] == pytest.approx(want, abs=1e-5)
+
+
+def test_quantile_is_a_line_within_its_cell(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", 2.0)] * 7, "k string, v double")
+    got = {r["k"]: r["q"] for r in quality._quantile(df, ["k"], F.col("v"), 0.5, "q").collect()}
+    assert got["a"] == pytest.approx(49 + 1 / quality._GRID) and got["b"] == pytest.approx(2 + 4 / 7 / quality._GRID)
+
+
+def test_verdicts_equal_plain_rules(verdicts):
+    for r in verdicts:
+        assert r["kept"] == (not r["base_failed"] and r["distance2"] <= quality.CUTOFF)
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
 
 
 def test_repeats_alone_are_rejected(spark):
