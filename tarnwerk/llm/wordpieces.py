@@ -3,7 +3,8 @@
 The file's pre-tokenizer is: letters, single digits, runs of other signs, and a few English
 contractions, after NFC and lower-casing; white space only separates. Pieces of ASCII and of Latin
 letters up to U+017F are cut here by arrays of byte classes and given to the library's model as
-they are; every other white-space-separated piece goes through the library's whole pipeline.
+they are; every other white-space-separated piece goes through the library's whole pipeline, and so
+does one with the string of an added token, which the library takes for that token.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ def _classes() -> np.ndarray:
     return out
 
 
-def cut(block: tb.Block) -> Spans:
-    """Spans of pre-tokens; a piece with a byte of class OTHER is one span."""
+def cut(block: tb.Block, added: tuple[bytes, ...] = ()) -> Spans:
+    """Spans of pre-tokens; a piece with a byte of class OTHER or one of the ``added`` strings is one span."""
     data = block.data
     kind = _classes()[data]
     lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5) & (data[1:] >= 0x80) & (data[1:] < 0xC0))
@@ -41,6 +42,11 @@ def cut(block: tb.Block) -> Spans:
     good = lead[~(((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC4) & (second == 0xB0)))]
     kind[good] = LETTER
     kind[good + 1] = LETTER
+    for token in added:
+        at = np.flatnonzero(data[: max(0, len(data) - len(token) + 1)] == token[0])
+        for k, byte in enumerate(token):
+            at = at[data[at + k] == byte]
+        kind[at] = OTHER
     if (kind == OTHER).any():
         piece = np.cumsum(kind == SPACE)
         odd = np.zeros(int(piece[-1]) + 1, bool)
@@ -72,13 +78,18 @@ def word_encoder(path: str) -> Callable[[], PieceEncoder]:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True  # control strings in a text are ordinary text
             model, letters = t.model, _byte_letters()
+            added = tuple(x.content.encode() for x in t.get_added_tokens_decoder().values())
+            if any(len(x.split()) != 1 or x != x.strip() for x in added):
+                raise ValueError("an added token holds white space")
 
             def encode(pieces: list[bytes]) -> list[list[int]]:
                 out, odd = [], []
                 for i, piece in enumerate(pieces):
-                    if piece.isalpha():
+                    if any(x in piece for x in added):
+                        odd.append(i)
+                        out.append([])
+                    elif piece.isalpha():
                         out.append([x.id for x in model.tokenize(piece.lower().decode())])
                     elif _plain.fullmatch(piece):
                         out.append([x.id for x in model.tokenize(piece.decode().lower().encode().decode("latin-1").translate(letters))])
@@ -89,7 +100,7 @@ def word_encoder(path: str) -> Callable[[], PieceEncoder]:
                     out[i] = e.ids
                 return out
 
-            _encoders[path] = PieceEncoder(cut, encode)
+            _encoders[path] = PieceEncoder(lambda block: cut(block, added), encode)
         return _encoders[path]
 
     return make

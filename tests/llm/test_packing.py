@@ -24,14 +24,12 @@ def path():
 
 @pytest.fixture(scope="module")
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def test_ids_are_the_library_s(path, library):
     rng = random.Random(3)
-    alphabet = [*"abzABZ 019.,!'’\"\t\n\r\x0b\x0c\x1c\x85\xa0 éÉïİıſßÿŸ×÷ñŒŁłŽžʼnΑΣσς中ー각가́̈‍😀🏽½²٣\x00\x01_-", "'s", "'LL", "<|endoftext|>", "é"]
+    alphabet = [*"abzABZ 019.,!'’\"\t\n\r\x0b\x0c\x1c\x85\xa0 éÉïİıſßÿŸ×÷ñŒŁłŽžʼnΑΣσς中ー각가́̈‍😀🏽½²٣\x00\x01_-", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "é"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
     encoder = word_encoder(path)()
     for block in tb.blocks(pa.array(texts)):
@@ -40,6 +38,16 @@ def test_ids_are_the_library_s(path, library):
             assert ids[cut[i] : cut[i + 1]].tolist() == library.encode(texts[block.first + i], add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_plain_call_s(path, library):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>é", "'s<|endoftext|>'s 12<|endoftext|>34", "<|endoftext|", "a <|endoftext|>"]
+    encoder = word_encoder(path)()
+    for block in tb.blocks(pa.array(texts)):
+        ids, cut = encoder.block(block)
+        for i, text in enumerate(texts):
+            assert ids[cut[i] : cut[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert library.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+
+
 def test_cache_may_overflow(path):
     from tarnwerk.llm.wordcache import PieceEncoder
 
