@@ -41,13 +41,13 @@ def encode_bmp(image: np.ndarray) -> bytes:
 
 def decode(data: bytes | None) -> np.ndarray | None:
     """Image bytes -> uint8 array, (height, width) or (height, width, 3); None if they are no whole
-    image of a known format."""
+    image of a known format; samples above the format's or the header's largest are not."""
     try:
         if data and data[:2] == b"BM":
             return _decode_bmp(data)
         if data and data[:2] in (b"P2", b"P3", b"P5", b"P6"):
             return _decode_netpbm(data)
-    except (ValueError, IndexError, struct.error):
+    except (ValueError, IndexError, OverflowError, struct.error):
         pass
     return None
 
@@ -72,7 +72,13 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if data[:2] in (b"P5", b"P6"):
         samples = np.frombuffer(data, np.uint8, w * h * depth, at + 1)
     else:
-        samples = np.array(data[at:].split()[: w * h * depth], np.uint8)
+        words = data[at:].split()[: w * h * depth]
+        if not all(x.isdigit() and len(x) < 10 for x in words):
+            raise ValueError("a sample is no number")
+        samples = np.array([int(x) for x in words], np.int64)
+    if samples.size and int(samples.max()) > most:
+        raise ValueError("a sample is above the largest")
+    samples = samples.astype(np.uint8)
     shape = (h, w) if depth == 1 else (h, w, 3)
     return samples.reshape(shape)
 

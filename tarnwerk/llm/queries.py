@@ -63,7 +63,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     best = F.array_max(F.transform("found", lambda x: F.struct(x["coverage"].alias("coverage"), x["matched"].alias("matched"), x["template"].alias("template"), x["first_byte"].alias("first_byte"), x["end_byte"].alias("end_byte"))))
-    return found.select("doc_id", F.size("found").cast("long").alias("n_stretches"), best.alias("b")).select("doc_id", "n_stretches", F.col("b.template").alias("template"), F.round("b.coverage", 6).alias("coverage"), F.col("b.matched").cast("long").alias("matched_words"), F.col("b.first_byte").alias("first_byte"), F.col("b.end_byte").alias("end_byte"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_stretches"), best.alias("b"), "found").select("doc_id", "n_stretches", F.col("b.template").alias("template"), F.round("b.coverage", 6).alias("coverage"), F.col("b.matched").cast("long").alias("matched_words"), F.col("b.first_byte").alias("first_byte"), F.col("b.end_byte").alias("end_byte"), "found")
 
 
 def piece_model() -> str:
