@@ -177,10 +177,11 @@ def _starts(x: DataFrame, work: Workspace) -> DataFrame:
     return work.keep(reduce(DataFrame.union, out))
 
 
-def _step(x: DataFrame, estimate: DataFrame, keys: list[str], share: float) -> DataFrame:
+def _step(x: DataFrame, estimate: DataFrame, keys: list[str], share: float, work: Workspace) -> DataFrame:
     """A concentration step: the estimate of the ``share`` of each group's rows that are nearest."""
     near = x.join(estimate, "g").select(*keys, *NAMES, F.log1p(_distance()).alias("close"))
-    limit = _quantile(near, keys, F.col("close"), share, "limit")
+    # written, so that its size is known: a join that deals rows by group would put a large group in one task
+    limit = work.keep(_quantile(near, keys, F.col("close"), share, "limit"))
     return _factor(_moments(near.join(limit, keys).where("close <= limit"), keys))
 
 
@@ -190,7 +191,7 @@ def least_determinants(x: DataFrame, work: Workspace, share: float = 0.75, most_
     when no group's determinant falls; ``most_steps`` only guards against rounding that goes round."""
     tried = _starts(x, work)
     for _ in range(2):
-        tried = work.keep(_step(x, tried, ["g", "s"], share))
+        tried = work.keep(_step(x, tried, ["g", "s"], share, work))
 
     def least(found: DataFrame, *ties: str) -> DataFrame:
         fields = [c for c in found.columns if c not in ("g", *ties)]
@@ -200,7 +201,7 @@ def least_determinants(x: DataFrame, work: Workspace, share: float = 0.75, most_
     found = [going]
     for _ in range(most_steps):
         old = going.select("g", F.col("logdet").alias("before"))
-        going = work.keep(_step(x, going, ["g"], share).join(old, "g").where(F.col("logdet") < F.col("before") - 1e-9).drop("before"))
+        going = work.keep(_step(x, going, ["g"], share, work).join(old, "g").where(F.col("logdet") < F.col("before") - 1e-9).drop("before"))
         if empty(going):
             break
         found.append(going)

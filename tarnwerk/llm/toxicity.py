@@ -19,6 +19,8 @@ from . import textbatch as tb
 from .workspace import digest, whole
 
 BITS = 20
+#: Chosen by three folds inside the rows that labels are learned from.
+ALPHA, L1_ROOT = 2.0, 0.1
 #: A word's first bytes stand for its inflected forms.
 STEM_BYTES = 5
 
@@ -42,11 +44,14 @@ def features(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, int, np.
         yield block.first, len(block), np.concatenate(owner), np.concatenate(found).astype(np.int64)
 
 
-def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 3, positive_weight: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """FTRL-proximal over rows of distinct feature numbers: bias, indices, weights. Without both
-    labels the bias alone carries the share of label 1."""
+def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = ALPHA, beta: float = 1.0, l1_root: float = L1_ROOT, l2: float = 0.0, epochs: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+    """FTRL-proximal over rows of distinct feature numbers: bias, indices, weights. The L1 term is ``l1_root``
+    times the root of the number of rows, as the noise in a coordinate's sum of gradients grows. Without both
+    labels there are no weights, and the bias alone carries the share of label 1, one row of each added."""
     if not rows or not any(labels) or all(labels):
-        return (6.0 if labels and all(labels) else -6.0), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        ones = sum(labels)
+        return float(np.log((ones + 1) / (len(labels) - ones + 1))) - (0.0 if ones else 1e-3), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    l1 = l1_root * len(rows) ** 0.5
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     z0 = n0 = 0.0
     bias = 0.0
@@ -55,7 +60,7 @@ def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: fl
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) > l1, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2), 0.0)
             p = 1.0 / (1.0 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
-            g = (p - y) * (positive_weight if y else 1.0)
+            g = p - y
             z[x] += g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
             n[x] = nx + g * g
             z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / alpha * bias
@@ -66,16 +71,17 @@ def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: fl
     return float(bias), live, w.astype(np.float32)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 16_000, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
-    """Train on at most about ``max_rows`` rows of ``labelled`` (doc_id, label), taken by a hash of
-    doc_id; texts come from ``docs``. Rows without an id, a label or a text are left out; of several
-    labels of one id the largest counts, and of several texts each is a row."""
+def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 16_000, max_features: int = 40_000_000, bits: int = BITS) -> tuple[float, np.ndarray, np.ndarray]:
+    """Train on a bounded sample of the rows of ``labelled`` (doc_id, label), in the order of a hash of doc_id:
+    at most about ``max_rows`` of them, and no more than hold ``max_features`` features (4 bytes each) together.
+    Texts come from ``docs``. Rows without an id, a label or a text are left out; of several labels of
+    one id the largest counts, and of several texts the one with the least digest."""
     known = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     n = known.count()
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / max(n, 1)) * (1 << 30))))
     texts = docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "text", "string").alias("text")).where("text is not null")
     # the sample is bounded by max_rows, so it may be shipped to every task
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")), "text")).alias("r")).select("doc_id", "label", "r.text")
 
     def extract(batches):
         for batch in batches:
@@ -86,17 +92,25 @@ def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = 16_000, bits: int
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), batch.column(1).slice(first, count), lists], names=["doc_id", "label", "x"])
 
     def learn(batches):
-        got = [b for b in batches if b.num_rows]
-        ids = np.concatenate([b.column(0).to_numpy() for b in got]) if got else np.zeros(0, np.int64)
-        x = [np.asarray(v.values) for b in got for v in b.column(2)]
-        y = [v for b in got for v in b.column(1).to_pylist()]
-        order = np.argsort(tb.mix(ids.astype(np.uint64)), kind="stable")[: 2 * max_rows]
-        bias, live, w = train([x[i] for i in order], [int(y[i] > 0) for i in order], bits)
+        x: list[np.ndarray] = []
+        y: list[int] = []
+        held = 0
+        for batch in batches:
+            for label, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held += len(found.values)
+                if held > max_features:
+                    break
+                x.append(np.array(found.values))
+                y.append(int(label > 0))
+            if held > max_features:
+                break
+        bias, live, w = train(x, y, bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(live, -1)), pa.array(np.append(w.astype(np.float64), bias))], names=["feature", "weight"])
 
-    model = rows.mapInArrow(extract, "doc_id long, label int, x array<int>").repartition(1).mapInArrow(learn, "feature long, weight double").toArrow()
+    found = rows.mapInArrow(extract, "doc_id long, label int, x array<int>")
+    model = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(learn, "feature long, weight double").toArrow()
     at, w = model["feature"].to_numpy(), model["weight"].to_numpy()
-    return float(w[at == -1][0]) if len(w) else -6.0, at[at >= 0], w[at >= 0].astype(np.float32)
+    return float(w[at == -1][0]) if len(w) else train([], [])[0], at[at >= 0], w[at >= 0].astype(np.float32)
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], bits: int = BITS, digests: bool = False) -> DataFrame:

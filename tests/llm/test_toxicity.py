@@ -58,17 +58,57 @@ def test_no_labels_and_one_class(spark, corpus):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
-def test_sample_is_bounded(corpus):
+def test_sample_is_bounded_and_repeated_rows_teach_once(corpus):
     docs, labels = corpus
-    model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")), max_rows=50)
-    assert len(model) == 3
-
-
-def test_ftrl_separates_and_is_sparse():
+    mine = labels.select("doc_id", F.col("toxic").alias("label"))
+    few = toxicity.fit(docs, mine, max_rows=50)
+    some = toxicity.fit(docs, mine, max_features=4000)
+    every = toxicity.fit(docs, mine)
+    assert few[1].tolist() != every[1].tolist() != some[1].tolist()
+    again = toxicity.fit(docs.union(docs.where("doc_id % 2 = 0")), mine)
+    assert again[0] == every[0] and (again[1] == every[1]).all() and (again[2] == every[2]).all()
+
+
+def plain_ftrl(rows, labels, alpha, beta, l1, epochs):
+    """Per-coordinate FTRL-proximal, one coordinate at a time."""
+    import math
+
+    z, n, touched = {}, {}, set()
+
+    def weight(i, l1):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha)
+
+    for _ in range(epochs):
+        for x, y in zip(rows, labels, strict=True):
+            w = {i: weight(i, 0.0 if i == "bias" else l1) for i in [*x.tolist(), "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, wi in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+                touched.add(i)
+    return weight("bias", 0.0), {i: weight(i, l1) for i in touched if i != "bias" and weight(i, l1)}
+
+
+def test_ftrl_equals_plain_updates():
     import numpy as np
 
     rng = np.random.default_rng(1)
     rows = [np.unique(np.append(rng.integers(10, 1000, 20), [1] if i % 2 else [2])) for i in range(400)]
-    bias, live, w = toxicity.train(rows, [i % 2 for i in range(400)], bits=10)
-    weights = dict(zip(live.tolist(), w.tolist(), strict=True))
-    assert weights[1] > 0 > weights[2] and len(live) < 900
+    labels = [i % 2 if i % 11 else 1 - i % 2 for i in range(400)]
+    for alpha, root in ((2.0, 0.1), (0.5, 0.02)):
+        bias, live, w = toxicity.train(rows, labels, bits=10, alpha=alpha, l1_root=root)
+        want_bias, want = plain_ftrl(rows, labels, alpha, 1.0, root * 20, 3)
+        assert bias == pytest.approx(want_bias, abs=1e-9)
+        assert dict(zip(live.tolist(), w.tolist(), strict=True)) == pytest.approx(want, rel=1e-5, abs=1e-6)
+        assert want[1] > 0 > want[2] and len(want) < 900
+
+
+def test_bias_alone_carries_the_share():
+    import numpy as np
+
+    x = np.array([1, 2])
+    for labels in ([], [0], [0] * 98, [1] * 98):
+        bias, live, _ = toxicity.train([x] * len(labels), labels)
+        assert not len(live) and 1 / (1 + np.exp(-bias)) == pytest.approx((sum(labels) + 1) / (len(labels) + 2), abs=1e-3)
