@@ -27,11 +27,19 @@ def _of(docs: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose own text scores below 0.5 stay; the model learns from the labels of ``docs``' rows that aren't
+    held out, and without labels all rows stay. Null and empty texts have the bias's score. A row without an id,
+    or with one that other rows share, is judged by its text like any other; repeated rows stay or go
+    together. All columns stay; an empty table gives no rows."""
     model = toxicity.learned(docs, table(spark, sf_dir, "labels"))
     return _of(docs, toxicity.score(docs, model, digests=True).where("score < 0.5"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and are no outliers of their language and source stay. Null and empty
+    texts, and those of fewer than 50 words, go. Rows that share an id, or have none, are judged one by one;
+    repeated rows stay or go together. Null languages and sources are groups of their own. All columns stay;
+    an empty table gives no rows."""
     return _of(docs, quality.judged(docs, digests=True).where("kept"), "lang", "source")
 
 
@@ -53,11 +61,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays, its text without passages of 240 bytes (about fifty short words) that also start
+    anywhere else, ``n_chars`` following the text. Null texts stay null, short and empty ones as they are; a
+    text of which another row has a copy becomes empty. Ids play no part but in naming one of equal
+    texts; an empty table gives no rows."""
     cut = suffixes.cut_repeats(docs, suffixes.PASSAGE, suffixes.PASSAGE_GRAM, with_text=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, packed into sequences of at most 2,048 tokens: doc_id, piece, start, length,
+    ids_crc32, sequence_id and offset. Null and empty texts are one piece of one token; very long ones are
+    cut into pieces. Rows without an id and repeated rows are packed like any other; an empty table gives no
+    rows."""
     return packing.pack(docs, wordpieces.word_encoder(word_tokenizer()))
 
 
