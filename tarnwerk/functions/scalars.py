@@ -78,9 +78,25 @@ def clean_code(c: Column, width: int = 5) -> Column:
     return F.when(F.length(bare) < width, F.lpad(bare, width, "0")).otherwise(bare)
 
 
-def percent_text(c: Column, digits: int = 1) -> Column:
-    """A share as text such as ``22.9%``, rounded half to even."""
-    return F.format_string(f"%.{digits}f%%", F.bround(c * 100, digits))
+def percent_text(c: Column) -> Column:
+    """A share as text such as ``22.9%``: a hundred times the double, rounded to one decimal by its binary
+    value, half to even. Decimal ties are rarely binary ones: 22.85 is a little above its text."""
+    x = c.cast("double") * 100
+    twenty = x * 16 + x * 4
+    lost = x * 4 - (twenty - x * 16)  # what that sum's rounding lost, exactly
+    odd = F.rint(twenty)
+    beside = (twenty - odd) + lost
+    tie = (F.pmod(odd, F.lit(2.0)) == 1.0) & (F.abs(twenty - odd) < 1e-6)
+    up, down = F.floor((odd + 1) / 2) / 10, F.floor((odd - 1) / 2) / 10
+    rounded = F.when(tie & (beside > 0), up).when(tie & (beside < 0), down).otherwise(F.bround(x, 1))
+    return F.format_string("%.1f%%", rounded)
+
+
+def section(text: Column, start: str, end: str) -> Column:
+    """What stands between the first ``start`` and the next ``end`` (or the end of the text), trimmed; null
+    without ``start``."""
+    after = F.substr(text, F.instr(text, start) + len(start))
+    return F.when(F.instr(text, start) > 0, F.trim(F.substring_index(after, end, 1)))
 
 
 def after_first(c: Column, sign: str = ":") -> Column:

@@ -121,6 +121,42 @@ def headline(df: DataFrame, totals: Mapping[str, tuple[Column, float]], atol: fl
     return audit(row, {n: close(F.col(f"`{n}`").cast("double"), F.lit(float(t)), atol) for n, (_, t) in totals.items()})
 
 
+def pinned(df: DataFrame, totals: Mapping[str, tuple[Column, float]], hashes: Mapping[str, str], known: Mapping[str, str], atol: float = 0.0) -> DataFrame | None:
+    """``headline`` against totals that hold for inputs of known hashes only: None for any other inputs, whose
+    totals may differ."""
+    return headline(df, totals, atol) if dict(hashes) == dict(known) else None
+
+
+def fields_of(*frames: DataFrame) -> list[str]:
+    """All column names, each once, in the order of first appearance."""
+    return list(dict.fromkeys(c for df in frames for c in df.columns))
+
+
+def disagreements(found: Mapping, expected: Mapping, atol: float = 0.0, at: str = "") -> list[str]:
+    """Where a nested document says something else than is expected: paths, with both values. Fields that
+    nothing is expected of may hold anything; numbers are compared with ``atol``, lists by position."""
+    out: list[str] = []
+    for key, want in expected.items():
+        path, got = f"{at}{key}", found.get(key) if isinstance(found, Mapping) else None
+        if isinstance(want, Mapping):
+            out += disagreements(got if isinstance(got, Mapping) else {}, want, atol, f"{path}.")
+        elif isinstance(want, list) and isinstance(got, list) and len(want) == len(got) and any(isinstance(x, Mapping) for x in want):
+            for i, (g, w) in enumerate(zip(got, want, strict=True)):
+                out += disagreements({"": g}, {"": w}, atol, f"{path}[{i}]")
+        elif isinstance(want, float) and isinstance(got, int | float) and not isinstance(got, bool):
+            out += [] if abs(got - want) <= atol else [f"{path}: {got!r}, not {want!r}"]
+        elif type(got) is not type(want) or got != want:
+            out.append(f"{path}: {got!r}, not {want!r}")
+    return out
+
+
+def require_agreement(found: Mapping, expected: Mapping, name: str = "metadata", atol: float = 0.0) -> Mapping:
+    """``found`` if it says what is expected."""
+    if wrong := disagreements(found, expected, atol):
+        raise CheckFailed(f"{name}: {'; '.join(wrong)}")
+    return found
+
+
 def outside_bands(df: DataFrame, keys: Sequence[str], bands: Sequence[tuple[str, str, float, float]]) -> DataFrame:
     """Warnings: (code, column, low, high) bands, both ends included; one row for each value outside."""
     each = F.array(*(F.struct(F.lit(code).alias("code"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"), F.lit(float(lo)).alias("low"), F.lit(float(hi)).alias("high")) for code, c, lo, hi in bands))

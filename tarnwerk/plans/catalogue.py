@@ -14,6 +14,7 @@ from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, Shor
 
 from ..functions import scalars as fn
 from ..operators import alloc, checks, fanout, stats, timeseries
+from . import stock
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,10 +227,17 @@ def morph_series(spark, sf_dir):
     return _morphed(spark, sf_dir).select("scenario", "event_id", "bucket", "t", "beam", "diffuse", "total")
 
 
-@query(f"""with {_MORPH} select scenario, bucket as month, count(*) as rows, R(avg(t - t0)) as mean_shift, R(max(delta)) as delta, R(max(alpha)) as alpha,
-    R(sum(beam) / nullif(sum(beam0), 0)) as beam_ratio, R(sum(diffuse) / nullif(sum(diffuse0), 0)) as diffuse_ratio, cast(0 as bigint) as changed, true as ok from m group by scenario, bucket""", 9)
+@query(f"""with {_MORPH}, x as (select *, t + case when scenario = 'low' and bucket = 1 then 0.001 else 0 end as t1, case when scenario = 'high' and event_id % 100 = 7 then 'other' else event_type end as type1 from m),
+    g as (select scenario, bucket as month, count(*) as rows, avg(t1 - t0) as mean_shift, max(delta) as delta, max(alpha) as alpha, sum(beam) / nullif(sum(beam0), 0) as beam_ratio, sum(diffuse) / nullif(sum(diffuse0), 0) as diffuse_ratio,
+        count(*) filter (type1 <> event_type) as changed from x group by scenario, bucket)
+    select scenario, month, rows, R(mean_shift) as mean_shift, R(delta) as delta, R(alpha) as alpha, R(beam_ratio) as beam_ratio, R(diffuse_ratio) as diffuse_ratio, changed,
+        abs(mean_shift - delta) <= 1e-8 and changed = 0 and coalesce(abs(beam_ratio - alpha) <= 1e-8, true) and coalesce(abs(diffuse_ratio - alpha) <= 1e-8, true) as ok from g""", 9)
 def pair_invariants(spark, sf_dir):
-    return timeseries.pair_invariants(_morphed(spark, sf_dir), _series(spark, sf_dir), ["event_id"], ["scenario"], F.col("bucket"), "t", ["beam", "diffuse"], ["event_type", "ts"])
+    """A member with a wrong shift in one scenario and changed labels in another: both must be found."""
+    m = _morphed(spark, sf_dir)
+    shifted = F.when((F.col("scenario") == "low") & (F.col("bucket") == 1), F.col("t") + 0.001).otherwise(F.col("t"))
+    other = F.when((F.col("scenario") == "high") & (F.col("event_id") % 100 == 7), "other").otherwise(F.col("event_type"))
+    return timeseries.pair_invariants(m.withColumns({"t": shifted, "event_type": other}), _series(spark, sf_dir), ["event_id"], ["scenario"], F.col("bucket"), "t", ["beam", "diffuse"], ["event_type", "ts"])
 
 
 @query(f"""with {_MORPH} select scenario, event_type, count(*) as row_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as "end",
@@ -317,7 +325,7 @@ def night_zero_rule(spark, sf_dir):
     union all select 'not blank c_name', (select count(*) filter (coalesce(trim(c_name), '') = '') from customer)
     union all select 'rows = 25', (select abs(count(*) - 25) from nation)
     union all select 'constant r_regionkey', (select greatest(count(distinct r_regionkey) - 1, 0) from region)
-    union all select 'price is whole', (select count(*) filter (not coalesce(abs(l_extendedprice - l_extendedprice) <= 1e-9, false)) from lineitem)
+    union all select 'whole prices', (select count(*) filter (not coalesce(abs(l_extendedprice - round(l_extendedprice / l_quantity, 0) * l_quantity) <= 20, false)) from lineitem)
     union all select 'customers', (select case when sum(n) = (select count(*) from customer) then 0 else 1 end from s)""")
 def quality_report(spark, sf_dir):
     li, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
@@ -326,7 +334,7 @@ def quality_report(spark, sf_dir):
     counts = joined.agg(F.count("*").alias("a")).crossJoin(c.agg(F.count("*").alias("b")))
     return checks.union_checks(
         checks.unique_key(li, ["l_orderkey", "l_linenumber"]), checks.unique_key(o, ["o_orderkey"]), checks.not_null(li, ["l_quantity"]), checks.in_range(li, {"l_discount": (0.0, 1.0)}),
-        checks.not_blank(c, ["c_name"]), checks.row_count(n, 25), checks.constant(r, "r_regionkey"), checks.identity(li, "price is whole", F.col("l_extendedprice"), F.col("l_extendedprice"), 1e-9),
+        checks.not_blank(c, ["c_name"]), checks.row_count(n, 25), checks.constant(r, "r_regionkey"), checks.identity(li, "whole prices", F.col("l_extendedprice"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 0) * F.col("l_quantity"), 20.0),
         checks.audit(counts, {"customers": F.col("a") == F.col("b")}),
     )
 
@@ -345,11 +353,27 @@ def field_agreement(spark, sf_dir):
     return checks.agreement(c, s, ["c_custkey"], ["bal"], 100.0).select("c_custkey", "field", F.lit(1).cast("long").alias("n"))
 
 
-@query("""with g as (select c_nationkey, list_sort(list(distinct c_mktsegment)) as values from customer group by all)
-    select c_nationkey, cast(len(values) as bigint) as n from g where values <> ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']""")
+@query("""with g as (select s_nationkey, list_sort(list(distinct least(3, s_suppkey % 5))) as values from supplier group by all)
+    select s_nationkey, cast(len(values) as bigint) as n from g where values <> [0, 1, 2, 3]""")
 def domain_coverage(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    return checks.covers(c, ["c_nationkey"], "c_mktsegment", list(SEGMENTS)).select("c_nationkey", F.size("values").alias("n"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.least(F.lit(3), F.col("s_suppkey") % 5).cast("int").alias("v")).distinct()
+    return checks.covers(s, ["s_nationkey"], "v", [0, 1, 2, 3]).select("s_nationkey", F.size("values").alias("n"))
+
+
+@query("""select o_orderkey, cast(count(*) as bigint) as n from (select distinct l_orderkey as o_orderkey, l_linestatus as state from lineitem) group by all having list_sort(list(state)) <> ['F', 'O']""")
+def paired_states(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("state")).distinct()
+    return checks.states(s, ["o_orderkey"], "state", ["F", "O"]).select("o_orderkey", F.size("values").alias("n"))
+
+
+@query("""select 'nations' as "check", cast(count(*) <> 25 as bigint) as violations from nation union all select 'keys', cast(sum(n_nationkey) <> 300 as bigint) from nation union all select 'wrong', cast(sum(n_nationkey) <> 299 as bigint) from nation""")
+def headline_totals(spark, sf_dir):
+    return checks.headline(table(spark, sf_dir, "nation"), {"nations": (F.count("*"), 25.0), "keys": (F.sum("n_nationkey"), 300.0), "wrong": (F.sum("n_nationkey"), 299.0)})
+
+
+@query("""select s_nationkey, case when count(*) = 1 then max(s_suppkey) end as s_suppkey, count(*) as rows from supplier group by all""")
+def exactly_one(spark, sf_dir):
+    return stats.exactly_one(table(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey")
 
 
 @query("""with b as (select l_returnflag, avg(l_quantity) as quantity, avg(l_discount) as discount from lineitem group by all)
@@ -619,3 +643,85 @@ def collected_groups(spark, sf_dir):
 def sums_by_predicate(spark, sf_dir):
     early = F.col("n_name") < "J"
     return stats.sum_where(table(spark, sf_dir, "nation"), ["n_regionkey"], {"early": (early, F.col("n_nationkey")), "late": (~early, F.col("n_nationkey"))})
+
+
+# Stock plans on the star schema --------------------------------------------------------------------
+
+_PRIORITY_PERIODS = (("1-URGENT", "Before 1919"), ("2-HIGH", "1946-1970"), ("3-MEDIUM", "1971-1990"), ("4-NOT SPECIFIED", "2001-2010"), ("5-LOW", "2011 onwards"))
+_SEGMENT_CODES = (("AUTOMOBILE", "R1"), ("BUILDING", "R2"), ("FURNITURE", "R3"), ("HOUSEHOLD", "R4"), ("MACHINERY", "other"))
+_MARGINS = f"""tc(segment, code) as (values {_values(_SEGMENT_CODES)}), tb(code, dwelling_type, weight) as (values {_values(stock.TYPE_BRIDGE)}),
+    pc(priority, source_period) as (values {_values(_PRIORITY_PERIODS)}), pb(source_period, construction_period, weight) as (values {_values(stock.PERIOD_BRIDGE)}),
+    where_(custkey, region) as (select c_custkey, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+    t1 as (select region, dwelling_type, sum(weight) as n from customer join where_ on c_custkey = custkey join tc on segment = c_mktsegment join tb using (code) group by all),
+    types as (select region, dwelling_type, n / sum(n) over (partition by region) as type_share from t1),
+    p1 as (select region, construction_period, sum(weight) as n from orders join where_ on o_custkey = custkey join pc on priority = o_orderpriority join pb using (source_period) group by all),
+    periods as (select region, construction_period, n / sum(n) over (partition by region) as period_share from p1)"""
+
+
+def _marginals(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    placed = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("region"), "c_custkey", "c_mktsegment")
+    split = placed.groupBy("region", fn.lookup(F.col("c_mktsegment"), dict(_SEGMENT_CODES)).alias("code")).agg(F.count("*").cast("double").alias("dwellings"))
+    orders = table(spark, sf_dir, "orders").join(placed, F.col("o_custkey") == F.col("c_custkey"))
+    counts = orders.groupBy("region", fn.lookup(F.col("o_orderpriority"), dict(_PRIORITY_PERIODS)).alias("source_period")).agg(F.count("*").cast("double").alias("dwellings"))
+    return stock.type_shares(split), stock.period_shares(counts)
+
+
+@query(f"with {_MARGINS} select region, dwelling_type, R(type_share) as type_share from types", 9)
+def type_shares(spark, sf_dir):
+    return _marginals(spark, sf_dir)[0]
+
+
+@query(f"with {_MARGINS} select region, construction_period, R(period_share) as period_share from periods", 9)
+def period_shares(spark, sf_dir):
+    return _marginals(spark, sf_dir)[1]
+
+
+def _archetypes(spark: SparkSession) -> DataFrame:
+    """The archetype matrix of made-up class tables."""
+    pairs = [(i + 1, t, p, 100.0 + i) for i, (p, t) in enumerate((p, t) for p in stock.PERIODS for t in stock.TYPES)]
+    geometry = spark.createDataFrame(pairs, "tabula_type_number int, dwelling_type string, construction_period string, area double")
+    walls = spark.createDataFrame([(p, 2.0 - 0.3 * i, 1.5 - 0.2 * i) for i, p in enumerate(stock.PERIODS)], "construction_period string, U_wall double, U_roof double")
+    air = spark.createDataFrame([(p, *[10.0 - i + k / 10 for k in range(5)]) for i, p in enumerate(stock.PERIODS)], "construction_period string, " + ", ".join(f"{c} double" for c in stock.V50_COLUMNS))
+    return stock.base_matrix(geometry, walls, air)
+
+
+_BASE = f"""ty(k, dwelling_type) as (values {_values(tuple(enumerate(stock.TYPES)))}), pe(i, construction_period) as (values {_values(tuple(enumerate(stock.PERIODS)))}),
+    base as (select 'BE_TABULA_' || lpad(cast(5 * i + k + 1 as varchar), 2, '0') as archetype_id, 5 * i + k + 1 as number, dwelling_type, construction_period, 100.0 + 5 * i + k as area, 10.0 - i + k / 10 as v50, 2.0 - 0.3 * i as u_wall, 1.5 - 0.2 * i as u_roof from ty, pe)"""
+
+
+@query(f"with {_BASE} select archetype_id, cast(number as bigint) as number, dwelling_type, construction_period, R(area) as area, R(v50) as v50, R(u_wall) as u_wall, R(u_roof) as u_roof from base", 9)
+def base_matrix(spark, sf_dir):
+    return _archetypes(spark).select("archetype_id", F.col("TABULA_type_number").alias("number"), "dwelling_type", "construction_period", "area", F.col("v50_m3_h_m2").alias("v50"), F.col("U_wall").alias("u_wall"), F.col("U_roof").alias("u_roof"))
+
+
+@query(f"""with {_MARGINS}, {_BASE}, modelled as (select region, cast(count(*) as double) as modelled from where_ group by all)
+    select region, archetype_id, R(type_share * period_share) as share, R(modelled * type_share * period_share) as dwellings from base join types using (dwelling_type) join periods using (region, construction_period) join modelled using (region)""", 9)
+def regional_matrix(spark, sf_dir):
+    types, periods = _marginals(spark, sf_dir)
+    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    modelled = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("region")).agg(F.count("*").cast("double").alias("modelled"))
+    return stock.stock_weighted(_archetypes(spark), types, periods, modelled, "region").select("region", "archetype_id", "share", "dwellings")
+
+
+@query("""select area, period, R(dwellings) as dwellings, R(round_even(100 * dwellings / sum(dwellings) over (partition by area), 2)) as percent from (
+    select r_name as area, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'old' else 'new' end as period, cast(count(*) as double) as dwellings
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all)""", 6)
+def construction_period_table(spark, sf_dir):
+    n, r, c = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    bands = {"b1": "old", "b2": "old", "b3": "new", "b4": "new", "b5": "new"}
+    placed = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    census = placed.groupBy(F.col("r_name").alias("area")).agg(*(F.count_if(F.col("o_orderpriority").startswith(str(i))).cast("double").alias(f"b{i}") for i in range(1, 6)))
+    areas = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    wide = stock.period_table(census, "area", bands, areas)
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("area"), F.col(f"`{a} dwellings`").alias("dwellings"), F.col(f"`{a} share (%)`").alias("percent")) for a in areas)))
+    return wide.select("period", each.alias("r")).select("r.area", "period", "r.dwellings", "r.percent")
+
+
+@query(f"""with {_STATES}, x as (select region, scenario, sum(dwellings) as renovated, cast(sum(n) as double) as modelled, count(*) filter (capped) as caps from st where state = 'renovated' group by all)
+    select region, scenario, caps, case when caps > 0 then 'Moves ' || printf('%.1f%%', 100 * renovated / modelled) || ' of it. Archetype caps bind; so less. Done. End.' else 'Moves ' || printf('%.1f%%', 100 * renovated / modelled) || ' of it. Done. End.' end as note from x""")
+def policy_notes(spark, sf_dir):
+    x = _states(spark, sf_dir).where("state = 'renovated'").groupBy("region", "scenario").agg((F.sum("dwellings") / F.sum("n")).alias("renovated_fraction"), F.count_if("capped").alias("caps"))
+    regions = [r["r_name"] for r in table(spark, sf_dir, "region").collect()]  # five rows
+    notes = {(r, s): "Moves {percent} of it. Archetype caps bind; so less. Done." for r in regions for s in RATES}
+    return stock.with_notes(x, notes, "End.").select("region", "scenario", "caps", "note")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import close, finite, is_leap
+from ..functions.scalars import close, finite, flag, is_leap
 from ..operators import checks, stats, timeseries
+from ..sources import files
 
 #: Bounds of the measures, of the solar factor, and of the degree days.
 T_BOUNDS, SOLAR_BOUNDS, ALPHA_BOUNDS = (-35.0, 50.0), (0.0, 1500.0), (0.7, 1.3)
@@ -83,6 +85,29 @@ def delta_contract(deltas: DataFrame, bounds: tuple[float, float] = ALPHA_BOUNDS
     return deltas.select("scenario", "month", (F.round(d, digits) if digits else d).alias("delta"), (F.round(a, digits) if digits else a).alias("alpha"))
 
 
+def stored_contract(spark: SparkSession, path: str, expected_sha256: str, bounds: tuple[float, float] = ALPHA_BOUNDS, scenarios: int = 3) -> DataFrame:
+    """The contract read from a stored CSV (scenario, month, delta_T_C, alpha_solar_raw, alpha_solar_applied,
+    alpha_was_clipped), if the file has the expected hash and one row for each scenario and month."""
+    files.require_hash(path, expected_sha256)
+    raw = files.csv(spark, path, columns=["scenario", "month", "delta_T_C", "alpha_solar_raw", "alpha_solar_applied", "alpha_was_clipped"])
+    typed = raw.select("scenario", F.col("month").cast("int").alias("month"), F.col("delta_T_C").cast("double").alias("delta"), F.col("alpha_solar_raw").cast("double").alias("alpha_raw"), F.col("alpha_solar_applied").cast("double").alias("alpha"), flag(F.col("alpha_was_clipped")).alias("clipped"))
+    checks.enforce(typed, checks.row_count(typed, 12 * scenarios), checks.unique_key(typed, ["scenario", "month"]))
+    return delta_contract(typed, bounds)
+
+
+def scenario_parameters(contract: DataFrame, scenario: str) -> DataFrame:
+    """The twelve months of one scenario: month, delta, alpha. Another number of months raises."""
+    out = contract.where(F.col("scenario") == scenario).select("month", "delta", "alpha")
+    months = out.select(F.lit(scenario).alias("scenario"), F.col("month").cast("int").alias("month"))
+    checks.enforce(out, checks.row_count(out, 12))
+    return checks.enforce_empty(out, f"{scenario} doesn't have each month", checks.covers(months, ["scenario"], "month", list(range(1, 13))))
+
+
+def parameter_plot(deltas: DataFrame) -> DataFrame:
+    """What a plot of the monthly parameters shows: scenario, month, name, delta, and the sun's change in %."""
+    return timeseries.with_month_names(deltas).select("scenario", "month", "month_name", "delta", ((F.col("alpha") - 1) * 100).alias("solar_change_percent"))
+
+
 def ensemble(observed: DataFrame, contract: DataFrame) -> DataFrame:
     """Every observed year under every scenario, as one table: T + delta, beam and diffuse x alpha, their sum
     anew, all else unchanged. Written with ``partitionBy(scenario, observed_year)``, a member is a folder."""
@@ -121,14 +146,47 @@ def member_summary(table: DataFrame, observed: DataFrame) -> DataFrame:
     return out.withColumn("hdd_ratio", F.try_divide("hdd", "observed_hdd")).withColumn("cdd_change", F.col("cdd") - F.col("observed_cdd")).withColumn("solar_ratio", F.try_divide("solar_kwh", "observed_solar"))
 
 
+#: Plausible bands as (code, column, low, high).
+BANDS = (("hdd_ratio_outside_band", "HDD_ratio_vs_observed", 0.65, 1.0), ("cdd_change_outside_band", "CDD_change_C_days", 0.0, 150.0), ("solar_ratio_outside_band", "annual_solar_ratio_vs_observed", 0.95, 1.15))
+#: The columns of a member's record.
+RECORD = (
+    "member_id", "scenario", "observed_pvgis_year", "is_leap_year", "row_count", "member_sha256", "metadata_sha256", "hard_status", "plausibility_status", "warning_count", "warning_codes",
+    "T_min_C", "T_max_C", "I_solar_min_W_m2", "I_solar_max_W_m2", "observed_HDD_C_days", "morphed_HDD_C_days", "HDD_change_C_days", "HDD_ratio_vs_observed", "observed_CDD_C_days",
+    "morphed_CDD_C_days", "CDD_change_C_days", "observed_annual_solar_kWh_m2", "morphed_annual_solar_kWh_m2", "annual_solar_change_kWh_m2", "annual_solar_ratio_vs_observed",
+)
+
+
+def member_records(table: DataFrame, observed: DataFrame, hashes: DataFrame, bands: Sequence[tuple[str, str, float, float]] = BANDS) -> DataFrame:
+    """The full record of each member that passed its hard checks. ``hashes`` has scenario, observed_year,
+    member_sha256 and metadata_sha256."""
+    keys = ["scenario", "observed_year"]
+    ranges = table.groupBy(*keys).agg(F.count("*").alias("row_count"), *(f(c).alias(n) for c, t in (("T_out_C", "T_{}_C"), (SOLAR, "I_solar_{}_W_m2")) for f, n in ((F.min, t.format("min")), (F.max, t.format("max")))))
+    m = member_summary(table, observed).join(ranges, keys).join(hashes, keys, "left")
+    named = {"HDD": ("observed_hdd", "hdd"), "CDD": ("observed_cdd", "cdd")}
+    for n, (before, after) in named.items():
+        m = m.withColumns({f"observed_{n}_C_days": F.col(before), f"morphed_{n}_C_days": F.col(after), f"{n}_change_C_days": F.col(after) - F.col(before)})
+    m = m.withColumns({
+        "HDD_ratio_vs_observed": F.try_divide("hdd", "observed_hdd"), "observed_annual_solar_kWh_m2": F.col("observed_solar"), "morphed_annual_solar_kWh_m2": F.col("solar_kwh"),
+        "annual_solar_change_kWh_m2": F.col("solar_kwh") - F.col("observed_solar"), "annual_solar_ratio_vs_observed": F.try_divide("solar_kwh", "observed_solar"),
+        "observed_pvgis_year": F.col("observed_year"), "is_leap_year": is_leap(F.col("observed_year")), "member_id": F.format_string("%s_%d", "scenario", "observed_year"), "hard_status": F.lit("pass"),
+    })
+    outside = [F.when(~F.coalesce(F.col(c).between(lo, hi), F.lit(False)), F.lit(code)) for code, c, lo, hi in bands]
+    m = m.withColumn("codes", F.filter(F.array(*outside), lambda x: x.isNotNull()))
+    m = m.withColumns({"warning_count": F.size("codes"), "warning_codes": F.array_join("codes", ";"), "plausibility_status": F.when(F.size("codes") > 0, "warning").otherwise("pass")})
+    return m.select(*RECORD)
+
+
 def implausible(summary: DataFrame, bands: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Warnings; degree days of cooling are compared by difference, never by ratio."""
     return checks.outside_bands(summary, ["scenario", "observed_year"], [(f"{c}_outside_band", c, lo, hi) for c, (lo, hi) in bands.items()])
 
 
 def reference_comparison(observed: DataFrame, official: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Annual degree days against official ones: errors by year, and correlation, bias and absolute error."""
+    """Annual degree days against official ones: errors by year, and correlation, bias and absolute error. A
+    year that one side lacks or has twice raises."""
     a = observed.select("year", F.col("hdd").alias("hdd_own"), F.col("cdd").alias("cdd_own"))
+    checks.enforce(a, checks.unique_key(a, ["year"]), checks.unique_key(official, ["year"]))
+    checks.enforce_empty(a, "years of one side only", checks.key_difference(a, official, ["year"]))
     joined = a.join(official, "year")
     rows = joined.withColumn("hdd_error", F.col("hdd_own") - F.col("HDD_C_days")).withColumn("cdd_error", F.col("cdd_own") - F.col("CDD_C_days"))
     h = stats.error_statistics(rows, "hdd_own", "HDD_C_days").withColumn("metric", F.lit("HDD"))
@@ -151,6 +209,14 @@ def duration_data(table: DataFrame, points: int = 1001) -> DataFrame:
     return timeseries.curve_bands(timeseries.duration_curves(table, ["scenario", "observed_year"], "T_out_C", points), ["scenario"])
 
 
+def duration_subsets(table: DataFrame, points: int = 1001, share: float = 2.0) -> DataFrame:
+    """The duration data with ``exceedance`` in % of hours and ``part``: hot, cold, or the rest, the outer ones
+    being ``share`` % at either end."""
+    x = F.col("pos") * (100.0 / (points - 1))
+    out = duration_data(table, points).withColumn("exceedance", x)
+    return out.withColumn("part", F.when(x <= share, "hot").when(x >= 100 - share, "cold").otherwise("rest"))
+
+
 def residual_matrix(invariant_rows: DataFrame, scenarios: Sequence[str]) -> DataFrame:
     """Members in a fixed order x months of the residual temperature shift."""
     long = invariant_rows.withColumn("residual", F.col("mean_shift") - F.col("delta"))
@@ -164,6 +230,14 @@ def day_weighted_check(variability: DataFrame, days: DataFrame) -> DataFrame:
     return stats.weighted_mean(w, ["scenario", "month"], "anomaly", "n_rows")
 
 
-def strictly_increasing(df: DataFrame, position: str, ts: str) -> DataFrame:
-    """Rows whose stamp doesn't exceed that of the row before, by a given position."""
-    return df.withColumn("previous", F.lag(ts).over(Window.orderBy(position))).where(F.col(ts) <= F.col("previous"))
+def strictly_increasing(df: DataFrame, position: str, ts: str, parts: int = 32) -> DataFrame:
+    """Rows whose stamp doesn't exceed that of the row before, by a given number of the row. Rows are compared
+    within ranges of positions, and the ranges by their ends, so no task holds all rows."""
+    bounds = sorted(set(df.approxQuantile(position, [i / parts for i in range(1, parts)], 0.01)))
+    part = reduce(lambda a, b: a + b, [(F.col(position) >= b).cast("int") for b in bounds], F.lit(0))
+    ranged = df.withColumn("__part", part)
+    ends = ranged.groupBy("__part").agg(F.max_by(ts, position).alias("__end"))
+    before = ends.withColumn("__end", F.lag("__end").over(Window.orderBy("__part")))  # a row a range
+    inner = F.lag(ts).over(Window.partitionBy("__part").orderBy(position))
+    out = ranged.withColumn("previous", inner).join(before, "__part").withColumn("previous", F.coalesce("previous", "__end"))
+    return out.where(F.col(ts) <= F.col("previous")).drop("__part", "__end")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.checks import CheckFailed, require_columns
+from ..operators.checks import CheckFailed
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -25,13 +25,19 @@ def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
 
 def quoted_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV files with doubled quotes, line ends inside cells, and any mix of line ends, as text columns.
-    Short rows are filled with empty text and blank rows dropped; blank or repeated headers, stray and
-    unterminated quotes fail. Each file is parsed as a whole, by the task that reads it."""
+    Short rows are filled with empty text, cells beyond the header and blank rows dropped; blank or repeated
+    headers, stray and unterminated quotes fail. Each file is parsed as a whole by the task that reads it, so
+    one must fit in a task's memory; larger data belong in files that can be split."""
     import csv as parser
     import io
+    import re
+
+    quoted = re.compile(r'(^|,|\n)"(?:[^"]|"")*"(?=,|\n|$)')
 
     def parsed(text: str) -> Iterator[list[str]]:
         plain = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+        if '"' in quoted.sub(r"\1", plain):
+            raise CheckFailed("a stray or unterminated quote")
         return parser.reader(io.StringIO(plain, newline=""), strict=True)
 
     files = spark.read.text(path, wholetext=True)
@@ -164,7 +170,3 @@ def pdf_text(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame([(p, i + 1, page.extract_text() or "") for i, page in enumerate(book.pages)], columns=["path", "page", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page int, text string")
-
-
-def with_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
-    return require_columns(df, needed)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -30,6 +31,77 @@ def csv(df: DataFrame, path: str, order: Sequence[str], digits: int | None = 10)
     out.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
+def _general(c: Column, digits: int) -> Column:
+    """A double as C's ``%.<digits>g``. Java's formats round the shortest text of a double, not its value, so
+    report tables, which are small, go through Python here; in batches, null staying null."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{digits}g}")
+
+    return F.when(c.isNull(), None).otherwise(shown(c.cast("double")))
+
+
+def one_csv(df: DataFrame, path: str, order: Sequence[str], digits: int | None = 10, general: int | None = None) -> None:
+    """One CSV file at ``path``, replaced at once: written beside it and renamed. Doubles have ``digits``
+    decimals, or as many significant figures as ``general`` says; without either they are as Spark prints
+    them. For report tables, which fit in one task."""
+    spark = df.sparkSession
+    out = df.orderBy(*order)
+    if general is not None:
+        out = out.select(*(_general(F.col(f.name), general).alias(f.name) if isinstance(f.dataType, DoubleType | FloatType) else F.col(f.name) for f in out.schema.fields))
+    elif digits is not None:
+        out = out.select(*_decimals(out, digits))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to = hadoop.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    stage = hadoop.Path(to.getParent(), f".{to.getName()}.writing-{uuid.uuid4().hex}")
+    try:
+        out.coalesce(1).write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(stage.toString())
+        part = next(x.getPath() for x in fs.listStatus(stage) if x.getPath().getName().startswith("part-"))
+        _replace(fs, hadoop, [(part, to)])
+    finally:
+        fs.delete(stage, True)
+
+
+def _replace(fs: object, hadoop: object, moves: Sequence[tuple[object, object]]) -> None:
+    """Rename each source to its target. What a target was is set aside first, and is put back with all others
+    if any rename fails."""
+    done: list[tuple[object, object | None]] = []
+    try:
+        for source, to in moves:
+            aside = None
+            if fs.exists(to):
+                aside = hadoop.Path(to.getParent(), f".{to.getName()}.before-{uuid.uuid4().hex}")
+                if not fs.rename(to, aside):
+                    raise CheckFailed(f"{to} can't be set aside")
+            done.append((to, aside))
+            fs.mkdirs(to.getParent())
+            if not fs.rename(source, to):
+                raise CheckFailed(f"{to} can't be moved into place")
+    except Exception:
+        for to, aside in reversed(done):
+            fs.delete(to, True)
+            if aside is not None:
+                fs.rename(aside, to)
+        raise
+    for _, aside in done:
+        if aside is not None:
+            fs.delete(aside, True)
+
+
+def console(tables: Mapping[str, DataFrame], rows: int = 20) -> str:
+    """A plain summary of small tables for a terminal: aligned columns, at most ``rows`` rows each."""
+    out = []
+    for name, df in tables.items():
+        found = df.limit(rows + 1).collect()
+        cells = [df.columns, *([("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in found[:rows])]
+        width = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+        out += [f"{name}:", *("  " + "  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in cells)]
+        out += ["  ..."] if len(found) > rows else []
+    return "\n".join(out)
+
+
 def short_decimals(df: DataFrame, digits: int = 12) -> DataFrame:
     """Doubles rounded to ``digits`` and tiny or minus zeros as 0."""
     return df.select(*(small_to_zero(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in df.schema.fields))
@@ -76,7 +148,8 @@ def latex_table(df: DataFrame, caption: str, drop: Sequence[str] = (), limit: in
 
 def publish(tables: Mapping[str, DataFrame], root: str, checks: Mapping[str, Sequence[Check]] | None = None, unchanged: Callable[[], bool] | None = None) -> None:
     """Write all tables to a staging folder, read them back, run their checks (which raise), make sure that
-    the inputs are unchanged, and only then move them into place; on failure nothing is left behind."""
+    the inputs are unchanged, and only then move them into place; on failure, also of a move, the tables that
+    were there before are there again."""
     spark = next(iter(tables.values())).sparkSession
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     stage = f"{root.rstrip('/')}/.staging-{uuid.uuid4().hex}"
@@ -90,10 +163,6 @@ def publish(tables: Mapping[str, DataFrame], root: str, checks: Mapping[str, Seq
                 check(again)
         if unchanged is not None and not unchanged():
             raise CheckFailed("inputs changed while tables were built")
-        for name in tables:
-            to = hadoop.Path(f"{root.rstrip('/')}/{name}")
-            fs.delete(to, True)
-            if not fs.rename(hadoop.Path(f"{stage}/{name}"), to):
-                raise CheckFailed(f"{name} can't be moved into place")
+        _replace(fs, hadoop, [(hadoop.Path(f"{stage}/{name}"), hadoop.Path(f"{root.rstrip('/')}/{name}")) for name in tables])
     finally:
         fs.delete(place, True)

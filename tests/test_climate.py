@@ -146,3 +146,65 @@ def test_calendar_and_gaps(spark):
     assert timeseries.missing_stamps(df, ["k"], "ts").count() == 1
     assert timeseries.gaps(df, ["k"], "ts").count() == 2
     assert timeseries.missing_stamps(df.limit(0), ["k"], "ts").count() == 0
+
+
+def test_full_record_of_each_member(spark, observed, contract):
+    table = climate.ensemble(observed, contract)
+    hashes = table.select("scenario", "observed_year").distinct().withColumns({"member_sha256": F.lit("m"), "metadata_sha256": F.lit("s")})
+    got = {r["member_id"]: r for r in climate.member_records(table, observed, hashes, [("hdd_low", "HDD_ratio_vs_observed", 0.99, 1.0), ("cdd_high", "CDD_change_C_days", -1e9, 1e9)]).collect()}
+    assert len(got) == 4 and tuple(next(iter(got.values())).asDict()) == climate.RECORD and len(climate.RECORD) == 26
+    r = got["rcp_b_2020"]
+    own, before = ({x["observed_year"]: x for x in climate.annual(t, ["observed_year"]).collect()}[2020] for t in (table.where("scenario = 'rcp_b'"), observed))
+    assert r["row_count"] == 8784 and r["is_leap_year"] and r["morphed_HDD_C_days"] == own["hdd"] and r["observed_HDD_C_days"] == before["hdd"]
+    assert r["HDD_ratio_vs_observed"] == pytest.approx(own["hdd"] / before["hdd"]) and r["annual_solar_change_kWh_m2"] == pytest.approx(own["solar_kwh"] - before["solar_kwh"])
+    assert (r["warning_codes"], r["warning_count"], r["plausibility_status"], r["hard_status"], r["member_sha256"]) == ("hdd_low", 1, "warning", "pass", "m")
+    plain = climate.member_records(table, observed, hashes, [("any", "T_min_C", -99.0, 99.0)]).first()
+    assert (plain["warning_codes"], plain["plausibility_status"]) == ("", "pass")
+
+
+def test_stored_contract_and_parameters(spark, tmp_path):
+    p = tmp_path / "d.csv"
+    lines = [f"{s},{m},{1 + m / 10},{1.0 + m / 100},{1.0 + m / 100},False" for s in "abc" for m in range(1, 13)]
+    p.write_text("scenario,month,delta_T_C,alpha_solar_raw,alpha_solar_applied,alpha_was_clipped\n" + "\n".join(lines) + "\n")
+    from tarnwerk.sources import files
+
+    digest = files.sha256(str(p))
+    table = climate.stored_contract(spark, str(p), digest)
+    months = climate.scenario_parameters(table, "b")
+    assert table.count() == 36 and months.where("month = 3").first()["delta"] == pytest.approx(1.3) and months.count() == 12
+    with pytest.raises(checks.CheckFailed, match="sha256"):
+        climate.stored_contract(spark, str(p), "0" * 64)
+    with pytest.raises(checks.CheckFailed, match="rows = 24"):
+        climate.stored_contract(spark, str(p), digest, scenarios=2)
+    for bad in (table.where("month <> 4"), table.where("scenario = 'none'"), table.withColumn("month", F.when(F.col("month") == 4, 5).otherwise(F.col("month")))):
+        with pytest.raises(checks.CheckFailed):
+            climate.scenario_parameters(bad, "b")
+
+
+def test_years_of_one_side_fail(spark):
+    own = spark.createDataFrame([(y, 1.0, 1.0) for y in range(5)], "year int, hdd double, cdd double")
+    official = spark.createDataFrame([(y, 1.0, 1.0) for y in range(1, 6)], "year int, HDD_C_days double, CDD_C_days double")
+    with pytest.raises(checks.CheckFailed, match="one side"):
+        climate.reference_comparison(own, official)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 32])
+def test_order_is_checked_within_and_between_ranges(spark, parts):
+    stamps = [datetime(2020, 1, 1) + timedelta(hours=h) for h in range(200)]
+    swapped = list(stamps)
+    swapped[57], swapped[58] = swapped[58], swapped[57]
+    swapped[150] = swapped[149]
+    for rows, want in ((stamps, []), (swapped, [58, 150])):
+        df = spark.createDataFrame(list(enumerate(rows)), "i long, ts timestamp").repartition(5)
+        assert sorted(r["i"] for r in climate.strictly_increasing(df, "i", "ts", parts).collect()) == want
+    assert climate.strictly_increasing(df.limit(0), "i", "ts").count() == 0
+
+
+def test_hot_and_cold_parts_of_the_curves(observed, contract):
+    rows = climate.duration_subsets(climate.ensemble(observed, contract), 101).where("scenario = 'rcp_a'").collect()
+    parts = {n: [r for r in rows if r["part"] == n] for n in ("hot", "cold", "rest")}
+    assert [len(parts[n]) for n in ("hot", "cold", "rest")] == [3, 3, 95]
+    assert min(r["low"] for r in parts["hot"]) > max(r["high"] for r in parts["cold"])
+    deltas = climate.parameter_plot(contract.withColumn("month", F.col("month").cast("int")))
+    row = deltas.where("scenario = 'rcp_b' and month = 2").first()
+    assert row["month_name"] == "Feb" and row["solar_change_percent"] == pytest.approx(5.2)

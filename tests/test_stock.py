@@ -57,6 +57,32 @@ def test_crosscheck_fractions(layers):
     assert got["Flemish Region", "high"]["status"] == "accelerated_scenario_with_archetype_caps"
 
 
+def test_notes_of_every_region_and_scenario(spark, layers):
+    crosscheck = stock.renovation_crosscheck(stock.scenario_states(layers))
+    got = {(r["region"], r["scenario"]): r["note"] for r in stock.with_notes(crosscheck).collect()}
+    assert len(got) == 9 and all(n.endswith("or PEB C+.") and "{" not in n for n in got.values())
+    assert got["Flemish Region", "high"].startswith("The high scenario renovates about 84.8% by 2050. Archetype caps bind; because")
+    assert got["Walloon Region", "low"].startswith("The low scenario renovates about 20.0% by 2050 and represents")
+    free = {(r["region"], r["scenario"]): r["note"] for r in stock.with_notes(crosscheck.withColumn("caps", F.lit(0))).collect()}
+    assert free["Walloon Region", "high"] == "The high scenario renovates about 87.9% by 2050. The central 3% rate remains a scenario assumption. " + stock.BENCHMARK_NOTE
+    with pytest.raises(checks.CheckFailed, match="template"):
+        stock.with_notes(crosscheck.withColumn("region", F.lit("elsewhere")))
+
+
+def test_business_rules_name_what_is_broken(spark):
+    regions = list(SPLIT)
+    raw = {"Walloon Region": (0.4, 0.597), "Flemish Region": (0.4, 0.6), "Brussels-Capital Region": (0.4, 0.6)}
+    heating = spark.createDataFrame([(r, f"v{i}", f"c{i}", x, x / sum(raw[r])) for r in regions for i, x in enumerate(raw[r])], "region string, heating_variant_id string, energy_carrier string, raw_share double, variant_share double")
+    packages = spark.createDataFrame([("v0", stock.STATES[0], "c0", "x", None, None, "false", "false"), ("v1", stock.STATES[0], "c1", "x", None, None, "false", "false"), (stock.RENOVATED_PACKAGE, stock.STATES[1], "e", "x", 45.0, 0.8, "true", "true")], "package_id string, applicable_renovation_state string, energy_carrier string, space_heating_system string, supply_temperature_c double, hrv_eta double, summer_bypass string, reversible_cooling_capable string")
+    cooling = spark.createDataFrame([(c, r, 0.1) for c in ("a", "b") for r in regions], "cooling_case string, region string, active_cooling_share double")
+    pv = spark.createDataFrame([(r, 2024, "true", 10.0) for r in regions], "region string, observation_year int, threshold_supported string, small_system_threshold_kw double")
+    broken = lambda *t: {r["check"] for r in stock.technology_rules(*t).where("violations > 0").collect()}
+    assert broken(heating, packages, cooling, pv) == set()
+    assert broken(heating.withColumn("raw_share", F.col("raw_share") * 1.01), packages, cooling, pv) == {"raw heating shares"}
+    assert broken(heating, packages.withColumn("supply_temperature_c", F.lit(55.0)).withColumn("summer_bypass", F.lit("false")), cooling, pv) == {"supply temperature", "summer bypass"}
+    assert broken(heating.withColumn("energy_carrier", F.lit("c0")), packages, cooling.withColumn("active_cooling_share", F.lit(1.5)), pv.withColumn("small_system_threshold_kw", F.lit(5.0))) == {"carriers agree", "range active_cooling_share", "threshold"}
+
+
 def test_technology_counts_and_sums(spark, layers):
     states = stock.scenario_states(layers)
     regions = list(SPLIT)
