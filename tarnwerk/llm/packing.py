@@ -60,31 +60,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Step]:
         if left[a] and capacity - a <= a:
             use(a, capacity - a)
     live = np.flatnonzero(left)
-    for a in live[::-1]:  # triples: the gap beside a is looked up among sums of pairs
-        gap = capacity - int(a)
-        for b in live[::-1]:
-            if not left[a]:
-                break
-            c = gap - int(b)
-            if b <= a and 0 < c <= b and left[b] and left[c]:
-                use(int(a), int(b), c)
-    live = np.flatnonzero(left)
-    for a in live[::-1]:  # quadruples as a pair's sum beside another pair's
+    for a in live[::-1].tolist():  # triples: the gap beside a is looked up among sums of pairs
+        if left[a]:
+            b = live[live <= a]
+            c = capacity - a - b
+            for k in np.flatnonzero((c > 0) & (c <= b) & (left[b] > 0) & (left[np.maximum(c, 0)] > 0))[::-1].tolist():
+                use(a, int(b[k]), int(c[k]))
+    sums = np.zeros(2 * capacity + 1, bool)
+    for i, a in enumerate(np.flatnonzero(left)[::-1].tolist()):  # quadruples as a pair's sum beside another pair's
         if not left[a]:
             continue
+        there = (left > 0).astype(np.int64)
+        if i % 64 == 0:  # lengths only run out, so older sums are a superset
+            sums = np.convolve(there, there) > 0
         pool = np.flatnonzero(left)
-        for b in pool[::-1]:
-            if not left[a]:
-                break
-            gap = capacity - int(a) - int(b)
-            if b > a or gap < 2 or not left[b]:
-                continue
-            for c in pool[(pool <= b) & (pool >= gap - b) & (pool < gap)][::-1]:
-                d = gap - int(c)
+        some = pool[(pool <= a) & (capacity - a - pool >= 2)]
+        for b in some[sums[capacity - a - some]][::-1].tolist():
+            gap = capacity - a - b
+            for c in pool[(pool <= b) & (pool >= gap - b) & (pool < gap)][::-1].tolist():
+                d = gap - c
                 if d > c or not (left[a] and left[b]):
                     break
                 if left[c] and left[d]:
-                    use(int(a), int(b), int(c), d)
+                    use(a, b, c, d)
     # best fit on what is left: a sequence takes the largest length that still fits, again and again
     while left.any():
         gap, lengths, taken = capacity, [], np.zeros_like(left)
@@ -120,11 +118,12 @@ def _intervals(steps: list[Step]) -> dict[int, tuple[np.ndarray, np.ndarray, np.
 
 
 def tokenize_pieces(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every text's pieces. A text's ids get ``end_id``
-    at their end, so the null or empty text is one piece of one token."""
+    """doc_id, piece, start, length and ids_crc32 of every text's pieces, and ``number``, the piece's in its task.
+    A text's ids get ``end_id`` at their end, so the null or empty text is one piece of one token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
+        number = 0
         for batch in batches:
             for block in tb.blocks(batch.column(1), ENCODE_BYTES):
                 ids, cut = encode.block(block)
@@ -138,12 +137,13 @@ def tokenize_pieces(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id
                         start.append(at)
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.arange(number, number + len(rows)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "number"])
+                number += len(rows)
 
-    return docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "text", "string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(whole(docs, "doc_id", "long").alias("doc_id"), whole(docs, "text", "string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
 
 
-def pack(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id: int = 0, capacity: int = CAPACITY, rows_a_salt: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id: int = 0, capacity: int = CAPACITY, rows_a_salt: int = 500_000) -> DataFrame:
     """All rows of ``docs`` (doc_id, text) in as few sequences of ``capacity`` tokens as the plan finds.
 
     Returns per piece doc_id, piece int, start long, length long, ids_crc32 long, sequence_id long
@@ -155,12 +155,13 @@ def pack(docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id: int = 0,
     pieces = work.keep(tokenize_pieces(docs, encoder, end_id, capacity))
     total = pieces.count()
     salts = max(1, -(-total // rows_a_salt))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # repeated rows differ by their number, so that they are spread too
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "number"), F.lit(salts)).cast("int"))
     by_salt = work.keep(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     intervals = _intervals(plan(counts, capacity))
     before = by_salt.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("base", F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "number"))
     ranked = salted.withColumn("rank", rank - 1).join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,5 +110,23 @@ def test_packed_rows(spark, path, library, capacity, salt):
     assert len(by) <= 1.02 * total / capacity + 2
 
 
+def test_repeated_rows_are_spread(spark, path):
+    rows = [(1, prose(9, 12), "en", "a", 1)] * 400
+    pieces = packing.tokenize_pieces(spark.createDataFrame(rows, SCHEMA).repartition(3), word_encoder(path))
+    assert pieces.select("number").distinct().count() >= 100
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), word_encoder(path), rows_a_salt=20).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 400
+
+
+def test_plans_of_lengths_that_fill_nothing_are_fast():
+    import time
+
+    began = time.perf_counter()
+    counts = {i: 3 for i in range(700, 2048, 2) if i % 6 == 2}
+    check_plan(counts, 2047)
+    check_plan({i: 1 for i in range(1, 2049)}, 2048)
+    assert time.perf_counter() - began < 20
+
+
 def test_empty_table(spark, path):
     assert packing.pack(spark.createDataFrame([], SCHEMA), word_encoder(path)).count() == 0
