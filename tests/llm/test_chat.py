@@ -58,3 +58,11 @@ def test_each_reply_is_an_example_with_its_context(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.expand(df)).count() == 0
+
+
+def test_very_long_turns_and_conversations(spark):
+    huge = "</s>[INST]\\" * 100_000
+    rows = [(1, 0, "user", huge), (1, 1, "assistant", huge), (1, 2, "user", "q"), (1, 3, "assistant", "a")] + [(2, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(600)]
+    got = {r["conv_id"]: r for r in chat.digests(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1]["loss_chars"] == len(huge) + 1 and got[1]["loss_sha256"] == hashlib.sha256((huge + "a").encode()).hexdigest()
+    assert got[2]["n_examples"] == 300 and got[2]["n_turns"] == 600

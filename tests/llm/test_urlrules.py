@@ -44,3 +44,10 @@ def test_no_rules_no_pages_and_hash_prefix_clashes(spark):
     assert urlrules.judge(df.limit(0), rules).count() == 0
     clash = urlrules.judge(df, rules, prefix_bytes=0)  # every digest shares the empty prefix
     assert sorted(map(str, clash.collect())) == sorted(map(str, urlrules.judge(df, rules).collect()))
+
+
+def test_repeated_rows_come_back_as_often_and_long_urls(spark):
+    long = "http://A.example.com/en/7" + "x" * 200_000
+    df = spark.createDataFrame([(1, "http://a.com/en/")] * 5 + [(1, "http://b.net/"), (2, long), (2, long)], "page_id long, url string")
+    got = [(r["page_id"], r["verdict"], len(r["path"])) for r in urlrules.judge(df, urlrules.rule_table(spark, URL_RULES)).collect()]
+    assert sorted(got) == sorted([(1, "block", 4)] * 5 + [(1, "allow", 1)] + [(2, "allow", 200_005)] * 2)
