@@ -233,7 +233,8 @@ def day_weighted_check(variability: DataFrame, days: DataFrame) -> DataFrame:
 def strictly_increasing(df: DataFrame, position: str, ts: str, parts: int = 32) -> DataFrame:
     """Rows whose stamp doesn't exceed that of the row before, by a given number of the row. Rows are compared
     within ranges of positions, and the ranges by their ends, so no task holds all rows."""
-    bounds = sorted(set(df.approxQuantile(position, [i / parts for i in range(1, parts)], 0.01)))
+    shares = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(position, shares)).first()[0] or [])) if shares else []
     part = reduce(lambda a, b: a + b, [(F.col(position) >= b).cast("int") for b in bounds], F.lit(0))
     ranged = df.withColumn("__part", part)
     ends = ranged.groupBy("__part").agg(F.max_by(ts, position).alias("__end"))
