@@ -28,28 +28,38 @@ def csv(df: DataFrame, path: str, order: Sequence[str], digits: int | None = 10)
     out = df.orderBy(*order)
     if digits is not None:
         out = out.select(*_decimals(out, digits))
-    out.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+    out.coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
 
 
-def _general(c: Column, digits: int) -> Column:
-    """A double as C's ``%.<digits>g``. Java's formats round the shortest text of a double, not its value, so
-    report tables, which are small, go through Python here; in batches, null staying null."""
+def _shown(c: Column, form: str) -> Column:
+    """A double in a C format; ``short`` ones lose zeros at the end, and the sign of zero. Java's formats round the
+    shortest text of a double, not its value, so report tables, which are small, go through Python here; in
+    batches, null staying null."""
+    short, form = form.startswith("short"), form.removeprefix("short")
+
+    def text(v: float) -> str:
+        out = format(v, form)
+        if short and "." in out:
+            out = out.rstrip("0").rstrip(".")
+        return "0" if short and out == "-0" else out
 
     @F.pandas_udf("string")
     def shown(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: f"{v:.{digits}g}")
+        return values.map(text)
 
     return F.when(c.isNull(), None).otherwise(shown(c.cast("double")))
 
 
-def one_csv(df: DataFrame, path: str, order: Sequence[str], digits: int | None = 10, general: int | None = None) -> None:
+def one_csv(df: DataFrame, path: str, order: Sequence[str], digits: int | None = 10, general: int | None = None, short: int | None = None) -> None:
     """One CSV file at ``path``, replaced at once: written beside it and renamed. Doubles have ``digits``
-    decimals, or as many significant figures as ``general`` says; without either they are as Spark prints
-    them. For report tables, which fit in one task."""
+    decimals, or as many significant figures as ``general`` says, or at most ``short`` decimals, tiny ones being 0;
+    without any they are as Spark prints them. Cells are quoted where they have to be. For report tables, which
+    fit in one task."""
     spark = df.sparkSession
     out = df.orderBy(*order)
-    if general is not None:
-        out = out.select(*(_general(F.col(f.name), general).alias(f.name) if isinstance(f.dataType, DoubleType | FloatType) else F.col(f.name) for f in out.schema.fields))
+    form = f".{general}g" if general is not None else f"short.{short}f" if short is not None else None
+    if form:
+        out = out.select(*(_shown(F.col(f.name), form).alias(f.name) if isinstance(f.dataType, DoubleType | FloatType) else F.col(f.name) for f in out.schema.fields))
     elif digits is not None:
         out = out.select(*_decimals(out, digits))
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -57,7 +67,7 @@ def one_csv(df: DataFrame, path: str, order: Sequence[str], digits: int | None =
     fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
     stage = hadoop.Path(to.getParent(), f".{to.getName()}.writing-{uuid.uuid4().hex}")
     try:
-        out.coalesce(1).write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(stage.toString())
+        out.coalesce(1).write.option("header", True).option("lineSep", "\n").option("emptyValue", "").option("escape", '"').csv(stage.toString())
         part = next(x.getPath() for x in fs.listStatus(stage) if x.getPath().getName().startswith("part-"))
         _replace(fs, hadoop, [(part, to)])
     finally:

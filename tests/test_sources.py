@@ -100,6 +100,9 @@ def test_one_file_csv(spark, tmp_path):
     p = tmp_path / "x" / "t.csv"
     sinks.one_csv(df, str(p), ["k"], general=12)
     assert p.read_text() == "k,v\n" + "".join(f"{i},{'' if v is None else f'{v:.12g}'}\n" for i, v in enumerate(values))
+    cells = spark.createDataFrame([(1, 1.0, 'a,"b"'), (2, -1e-14, "c\nd"), (3, 1 / 3, ""), (4, 1e15, None), (5, -2.50, "e")], "k int, v double, t string")
+    sinks.one_csv(cells, str(p), ["k"], short=12)
+    assert p.read_text() == 'k,v,t\n1,1,"a,""b"""\n2,0,"c\nd"\n3,0.333333333333,\n4,1000000000000000,\n5,-2.5,e\n'
     sinks.one_csv(df.where("k < 5"), str(p), ["k"], 6)
     assert p.read_text().splitlines()[5] == "4,0.333333" and [x.name for x in p.parent.iterdir() if not x.name.endswith(".crc")] == ["t.csv"]
 
