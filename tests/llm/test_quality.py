@@ -53,11 +53,12 @@ def test_outliers_go_and_clean_texts_stay(verdicts):
 def test_every_row_comes_back(spark, corpus, verdicts):
     assert len(verdicts) == corpus.count()
     assert quality.judged(corpus.limit(0)).count() == 0
-    assert quality.judged(corpus.select("doc_id", "text").limit(60)).count() == 60
 
 
-def test_plan_has_no_python(corpus):
-    plan = quality.judged(corpus)._jdf.queryExecution().executedPlan().toString()
+def test_plan_has_no_python_and_columns_may_lack(corpus):
+    out = quality.judged(corpus.select("doc_id", "text").limit(60))
+    assert out.count() == 60
+    plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
 
 
