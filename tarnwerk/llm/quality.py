@@ -105,51 +105,42 @@ def _computed(df: DataFrame) -> DataFrame:
 def _factor(df: DataFrame) -> DataFrame:
     """With the Cholesky factor l of the covariance c: statistics that vary less than their floor (v false)
     have the floor's variance and no covariances. ``logdet`` is the logarithm of the determinant."""
-    vary = [F.col(f"c{i}{i}") >= F.lit(FLOORS[i] ** 2) for i in range(D)]
-    df = _computed(_computed(df).withColumns({f"v{i}": v for i, v in enumerate(vary)}))
 
-    def cell(i: int, j: int) -> Column:
-        if i == j:
-            return F.when(F.col(f"v{i}"), F.col(f"c{i}{i}")).otherwise(FLOORS[i] ** 2)
-        return F.when(F.col(f"v{i}") & F.col(f"v{j}"), F.col(f"c{i}{j}")).otherwise(0.0)
+    def cell(i: int, j: int) -> str:
+        return f"if(v{i}, c{i}{i}, {FLOORS[i] ** 2!r}D)" if i == j else f"if(v{i} and v{j}, c{i}{j}, 0D)"
 
-    def row(done: Column, i: Column | int) -> Column:
-        return F.slice(done, (i * (i + 1) / 2).cast("int") + 1, F.lit(D))
-
-    def add(done: Column, x: Column) -> Column:
-        inner = F.aggregate(F.slice(F.zip_with(row(done, x["i"]), row(done, x["j"]), lambda p, q: p * q), 1, x["j"]), F.lit(0.0), lambda a, b: a + b)
-        rest = x["c"] - inner
-        pivot = F.sqrt(F.greatest(rest, x["c"] * 1e-6))
-        return F.concat(done, F.array(F.when(x["i"] == x["j"], pivot).otherwise(rest / F.element_at(row(done, x["j"]), x["j"] + 1))))
+    def row(i: str) -> str:
+        return f"slice(done, cast({i} * ({i} + 1) / 2 as int) + 1, {D})"
 
     # row by row, each cell from those before it
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), cell(i, j).alias("c")) for i, j in _CELLS))
-    df = _computed(df.withColumn("l", F.aggregate(cells, F.array().cast("array<double>"), add)))
-    df = df.withColumns({f"l{i}{j}": F.col("l")[k] for k, (i, j) in enumerate(_CELLS)}).drop("l")
-    return df.withColumn("logdet", reduce(lambda a, b: a + b, [2 * F.log(f"l{i}{i}") for i in range(D)]))
+    cells = ", ".join(f"struct({i} as i, {j} as j, {cell(i, j)} as c)" for i, j in _CELLS)
+    rest = f"(x.c - aggregate(slice(zip_with({row('x.i')}, {row('x.j')}, (p, q) -> p * q), 1, x.j), 0D, (a, b) -> a + b))"
+    add = f"if(x.i = x.j, sqrt(greatest({rest}, x.c * 1e-6D)), {rest} / element_at({row('x.j')}, x.j + 1))"
+    vary = _computed(df).selectExpr("*", *(f"c{i}{i} >= {FLOORS[i] ** 2!r}D as v{i}" for i in range(D)))
+    folded = _computed(_computed(vary).selectExpr("*", f"aggregate(array({cells}), cast(array() as array<double>), (done, x) -> concat(done, array({add}))) as l"))
+    logdet = " + ".join(f"2 * ln(l[{_CELLS.index((i, i))}])" for i in range(D))
+    return folded.selectExpr("* except (l)", *(f"l[{k}] as l{i}{j}" for k, (i, j) in enumerate(_CELLS)), f"{logdet} as logdet")
 
 
-def _solved() -> list[Column]:
+def _solved() -> list[str]:
     """Coordinates whose squares add up to the Mahalanobis distance: forward substitution."""
-    out: list[Column] = []
+    out: list[str] = []
     for i in range(D):
-        rest = F.col(NAMES[i]) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * out[j]
-        out.append(rest / F.col(f"l{i}{i}"))
+        rest = "".join(f" - l{i}{j} * {out[j]}" for j in range(i))
+        out.append(f"(({NAMES[i]} - m{i}{rest}) / l{i}{i})")
     return out
 
 
 def _distance() -> Column:
-    return reduce(lambda a, b: a + b, [s * s for s in _solved()])
+    return F.expr(" + ".join(f"{s} * {s}" for s in _solved()))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Number, mean m and covariance c of each group's rows."""
-    sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES)]
-    products = [F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"c{i}{j}") for i, j in _CELLS]
+    sums = [F.expr(f"avg({x})").alias(f"m{i}") for i, x in enumerate(NAMES)]
+    products = [F.expr(f"avg({NAMES[i]} * {NAMES[j]})").alias(f"p{i}{j}") for i, j in _CELLS]
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
-    return out.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in _CELLS})
+    return out.selectExpr(*keys, "n", *(f"m{i}" for i in range(D)), *(f"p{i}{j} - m{i} * m{j} as c{i}{j}" for i, j in _CELLS))
 
 
 def _starts(x: DataFrame, work: Workspace) -> DataFrame:
@@ -213,9 +204,9 @@ def estimates(x: DataFrame, work: Workspace, weight: int, share: float = 0.75) -
     and its language's by their rows, the language counting as ``weight`` rows; a language's is the
     average over its groups and, with ``weight`` rows again, over all groups."""
     raw = least_determinants(x, work, share)
-    varying = reduce(lambda a, b: a + b, [F.when(F.col(f"v{i}"), s * s).otherwise(0.0) for i, s in enumerate(_solved())])
-    half = _quantile(x.join(raw, "g").select("g", F.log1p(varying).alias("close")), ["g"], F.col("close"), 0.5, "half")
-    degrees = reduce(lambda a, b: a + b, [F.col(f"v{i}").cast("int") for i in range(D)])
+    varying = " + ".join(f"if(v{i}, {s} * {s}, 0D)" for i, s in enumerate(_solved()))
+    half = _quantile(x.join(raw, "g").selectExpr("g", f"log1p({varying}) as close"), ["g"], F.col("close"), 0.5, "half")
+    degrees = F.expr(" + ".join(f"cast(v{i} as int)" for i in range(D)))
     usual = F.when(degrees > 0, F.element_at(F.array(*map(F.lit, CHI2_MEDIAN)), F.greatest(degrees, F.lit(1))))
     scale = F.coalesce(F.expm1("half") / usual, F.lit(1.0))
     sizes = x.groupBy("g").agg(F.first("a").alias("a"), F.count("*").alias("rows"))
