@@ -13,14 +13,16 @@ The parts, in order:
    independent hashes, and each part gives a forest of its most similar signatures. Buckets whose members
    then are in one component go. In the others pairs of different components are tried: members outside a
    bucket's largest component meet all others, in parts of bounded size. Both make rows in proportion
-   to the bucket. Only where more members are outside than a part holds is a bucket split by second bands
-   first (two such buckets of a node make a finer one), and only what then still is too large is tried in
-   all pairs of parts.
+   to the bucket. Where more members are outside than a part holds, the members of all such buckets are
+   grouped anew, by the rarest shingles of their sets: linked sets share one of them (prefix filter), and what
+   is left behind the first one they share bounds the overlap (positional filter). Both lose no link. Small groups
+   give their pairs, larger ones go on as buckets do, and what then still is too large is tried in all pairs of
+   parts.
 5. Components of the verified links are contracted by distributed union-find.
 
 Probabilities: with 42 bands of 6 slots a pair at similarity 0.8 shares no band in 3 of a million
-cases, and just one band, which counts only where large buckets are split, in 5 of a hundred thousand; the
-estimate over 252 slots falls below 0.7 for such a pair in about 3 of a hundred thousand.
+cases; the estimate over 252 slots falls below 0.7 for such a pair in about 3 of a hundred thousand. In
+what is grouped by rarest shingles pairs are verified from 0.6 on, which is eight deviations away.
 """
 
 from __future__ import annotations
@@ -247,16 +249,20 @@ def _forest(least: float, percent: int):
 def _merging(least: float, percent: int):
     """Members of a part -> links that join their components, verified on the full sets. Members of side 0
     are tried with those of side 1, and with each other where ``inner`` says so; components that were
-    joined here count as one."""
+    joined here count as one. At most the ``rest`` of a set's shingles can be in the other."""
 
     def run(frame):
         sig, node, size = _slots(frame), frame["node"].to_numpy(), frame["n_shingles"].to_numpy()
         side, inner, comp = frame["side"].to_numpy(), bool(frame["inner"].iloc[0]), np.unique(frame["comp"].to_numpy(), return_inverse=True)[1]
         grams = [np.frombuffer(g, np.uint64) for g in frame["grams"]]
+        rest = frame["rest"].to_numpy()
         at = np.arange(len(node))
         a, b = [], []
         for r in np.flatnonzero(side == 0):
-            hits = np.flatnonzero((comp != comp[r]) & ((side == 1) | (inner & (at > r))) & (_similar(sig, size, r, least, percent) > 0))
+            tried = np.flatnonzero((comp != comp[r]) & ((side == 1) | (inner & (at > r))) & (np.minimum(rest, rest[r]) * (100 + percent) >= (size + size[r]) * percent))
+            if not len(tried):
+                continue
+            hits = tried[(sig[tried] == sig[r]).mean(axis=1) >= least]
             for j in hits:
                 if comp[j] != comp[r] and _link(grams[r], grams[j], percent):
                     a.append(node[r])
@@ -319,11 +325,11 @@ def _joined(comps: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     return work.keep(moved.union(higher.join(comps, "node", "left_anti").select("node", "root")))
 
 
-def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, classes: DataFrame, percent: int, slack: float = 0.1) -> DataFrame:
     """Pairs whose sizes and signatures allow a link, with the ids of the rows that hold their texts."""
     one, two = (classes.select(F.col("node").alias(x), F.col("doc_id").alias(f"d{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     fits = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return fits.select("a", "b", "da", "db", "sa", "sb").mapInArrow(_estimated(percent / 100 - 0.1), "a long, b long, da long, db long")
+    return fits.select("a", "b", "da", "db", "sa", "sb").mapInArrow(_estimated(percent / 100 - slack), "a long, b long, da long, db long")
 
 
 def _estimated(least: float):
@@ -376,7 +382,11 @@ def _sized(state: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     return sums.select("key", "n", "bytes", _parts(block).alias("parts"), F.col("top.comp").alias("main"), (fits | (_parts(block) == 1)).alias("fits"))
 
 
-_PART = ("key", "i", "j", "node", "comp", "side", "inner")
+_PART = ("key", "i", "j", "node", "comp", "side", "inner", "rest")
+
+
+def _rest(state: DataFrame) -> Column:
+    return whole(state, "rest", "long").alias("rest")
 
 
 def _beside_main(state: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -385,37 +395,99 @@ def _beside_main(state: DataFrame, sizes: DataFrame) -> DataFrame:
     placed = state.join(sizes.where("fits"), "key").withColumn("minor", F.col("comp") != F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = placed.withColumn("i", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
-    return dealt.select("key", "i", F.col("i").alias("j"), "node", "comp", F.when(F.col("minor"), 0).otherwise(1).alias("side"), (F.col("i") == 0).alias("inner"))
+    return dealt.select("key", "i", F.col("i").alias("j"), "node", "comp", F.when(F.col("minor"), 0).otherwise(1).alias("side"), (F.col("i") == 0).alias("inner"), _rest(state))
 
 
 def _all_parts(state: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members once for each pair of parts (i, j) that theirs belongs to."""
     placed = state.join(sizes.where("not fits"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    return dealt.select("key", "i", "j", "node", "comp", F.when(F.col("part") == F.col("i"), 0).otherwise(1).alias("side"), (F.col("i") == F.col("j")).alias("inner"))
+    return dealt.select("key", "i", "j", "node", "comp", F.when(F.col("part") == F.col("i"), 0).otherwise(1).alias("side"), (F.col("i") == F.col("j")).alias("inner"), _rest(state))
+
+
+#: Bits of the counters' index that order shingles by how rare they are.
+_COUNTER_BITS = 21
+#: Members of a group whose pairs are listed.
+_FEW = 16
+
+
+def _counters(bits: int):
+    """Batches of (node, comp, grams) -> how many shingles of this task have a counter."""
+
+    def run(batches):
+        out = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for g in batch.column(2):
+                np.add.at(out, (np.frombuffer(g.as_py(), np.uint64) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["counter", "n"])
+
+    return run
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    """Batches of (node, comp, grams) -> key, node, comp, rest: the rarest shingles of a set, so many that a linked
+    one must have one of them among its own, and how many of the set follow, the shingle included. What only
+    one set has is left out."""
+    shift = np.uint64(65 - len(counts).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            keys, n, rest = [], [], []
+            for g in batch.column(2):
+                x = np.frombuffer(g.as_py(), np.uint64)
+                c = counts[(x >> shift).astype(np.int64)]
+                first = np.lexsort((x, c))[: len(x) + percent * len(x) // -100 + 1]
+                at = np.flatnonzero(c[first] > 1)
+                keys.append(x[first[at]])
+                n.append(len(at))
+                rest.append(len(x) - at)
+            if sum(n):
+                rows = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(rest).astype(np.int64))], names=["key", "node", "comp", "rest"])
+
+    return run
 
 
-def _finer(state: DataFrame) -> DataFrame:
-    """Buckets of the members that two buckets share; those within one component are left out."""
-    lists = state.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.first("comp").alias("comp")).where(F.size("keys") > 1)
-    two = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    out = lists.select("node", "comp", F.explode(two).alias("key"))
+def _by_rarest(members: DataFrame, bits: int, percent: int) -> DataFrame:
+    """Groups of ``members`` (node, comp, grams) of different components that share one of their rarest shingles.
+    Counters are shared by shingles: any order gives every link, and a closer one smaller groups."""
+    found = members.mapInArrow(_counters(bits), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.uint32)
+    counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 32) - 1)
+    out = members.mapInArrow(_prefixes(percent, counts), "key long, node long, comp long, rest long")
     mixed = out.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return out.join(mixed, "key", "left_semi").select("key", "node", "comp")
+    return out.join(mixed, "key", "left_semi")
 
 
 def _remaining(state: DataFrame, classes: DataFrame, sets: DataFrame, block: int, percent: int, work: Workspace) -> DataFrame:
     """Links between components in what is left of the buckets. The smallest buckets are joined with
-    themselves, the others verified part by part."""
+    themselves, the others verified part by part; members of those that have too many outside of their
+    largest component are grouped by their rarest shingles."""
     sizes = work.keep(_sized(state, classes, block))
     few = state.join(sizes.where("n <= 3").select("key"), "key", "left_semi")
     left, right = (few.select("key", F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
     pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    dealt = _beside_main(state, sizes.where("n > 3"))
-    if not empty(sizes.where("not fits")):
-        finer = work.keep(_finer(state.join(sizes.where("not fits").select("key"), "key", "left_semi")))
-        sizes = work.keep(_sized(finer, classes, block))
-        dealt = dealt.union(_beside_main(finer, sizes)).union(_all_parts(finer, sizes))
-    own = sets.join(classes.select("node", "doc_id", "n_shingles", "sig"), (sets.node == classes.node) & sets.doc_id.eqNullSafe(classes.doc_id)).select(classes.node, "n_shingles", "sig", "grams")
-    found = dealt.select(*_PART).join(own, "node").groupBy("key", "i", "j").applyInPandas(_merging(percent / 100 - 0.1, percent), "a long, b long")
-    return _verified(_close(pairs, classes, percent), sets, percent).union(found)
+    named = classes.select("node", "doc_id", "n_shingles", "sig")
+    own = sets.join(named, (sets.node == named.node) & sets.doc_id.eqNullSafe(named.doc_id)).select(named.node, "n_shingles", "sig", "grams")
+    found = _found(_beside_main(state, sizes.where("n > 3")), own, percent / 100 - 0.1, percent)
+    out = _verified(_close(pairs, classes, percent), sets, percent).union(found)
+    if empty(sizes.where("not fits")):
+        return out
+    crowded = state.join(sizes.where("not fits").select("key"), "key", "left_semi").select("node", "comp").distinct()
+    members = work.keep(own.join(crowded, "node").groupBy("node").agg(F.first("comp").alias("comp"), F.first("grams").alias("grams")))
+    total = classes.join(crowded, "node", "left_semi").agg(F.sum("n_shingles")).first()[0]
+    groups = work.keep(_by_rarest(members, min(_COUNTER_BITS, max(12, int(4 * total).bit_length())), percent))
+    sizes = work.keep(_sized(groups, classes, block))
+    counted = groups.join(sizes.where(F.col("n") <= _FEW).select("key"), "key", "left_semi").join(classes.select("node", "n_shingles"), "node")
+    left, right = (counted.select("key", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("rest").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}")) for x in "ab")
+    listed = left.join(right, "key").where("a < b and ca <> cb").where(F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b").distinct()
+    many = sizes.where(F.col("n") > _FEW)
+    found = _found(_beside_main(groups, many).union(_all_parts(groups, many)), own, percent / 100 - 0.2, percent)
+    return out.union(_verified(_close(listed, classes, percent, 0.2), sets, percent)).union(found)
+
+
+def _found(dealt: DataFrame, own: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links in parts; where ``rest`` is null, all shingles of a set can be in others."""
+    members = dealt.select(*_PART).join(own, "node").withColumn("rest", F.coalesce("rest", "n_shingles"))
+    return members.groupBy("key", "i", "j").applyInPandas(_merging(least, percent), "a long, b long")

@@ -144,3 +144,37 @@ def test_forests_of_a_large_bucket_are_linear(spark):
         linked = {r["node"]: r["root"] for r in connected(pairs, Workspace(spark, "t")).collect()}
         assert len(linked) == n and set(linked.values()) == {0}
     assert sizes[1] <= 2.2 * sizes[0] and sizes[0] < 600
+
+
+@pytest.mark.parametrize("block, few", [(8, 16), (8, 2), (40, 2)])
+def test_links_of_members_that_share_one_large_bucket_only(spark, monkeypatch, block, few):
+    monkeypatch.setattr(superminhash, "_FEW", few, raising=False)
+    rows = [(i, t) for i, t in enumerate(boilerplate(60) + family(3, 30) + [prose(4, 3), prose(4, 5)])]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = texts.mapInArrow(superminhash._signed(4, 42, 6), "doc_id long, n_shingles long, node long, sig binary, bands array<long>").dropDuplicates(["node"]).cache()
+    state = signed.selectExpr("1L as key", "node", "node as comp")
+    work = Workspace(spark, "t")
+    links = superminhash._remaining(state, signed, superminhash._sets_of(texts, signed, 4, 29), block, 80, work)
+    root = {r["node"]: r["root"] for r in connected(links, work).collect()}
+    own = {r["doc_id"]: root.get(r["node"], r["node"]) for r in signed.collect()}
+    first = {}
+    for i in sorted(own):
+        first.setdefault(own[i], i)
+    kept = [r for r in rows if r[0] in own]
+    assert len(first) < len(kept) - 20
+    assert sorted((str(i), str(first[own[i]])) for i in own) == [(i, c) for i, _, c in brute(kept, 4)]
+
+
+def test_linked_sets_share_one_of_their_rarest_shingles(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64) << np.uint64(1)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(150, 400)), False), rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)])) for _ in range(60)]
+    members = spark.createDataFrame([(i, i, s.tobytes()) for i, s in enumerate(sets)], "node long, comp long, grams binary")
+    linked = {(i, j) for j in range(60) for i in range(j) if superminhash._link(sets[i], sets[j], 80)}
+    assert linked
+    for bits in (2, 16):
+        by_key = defaultdict(list)
+        for r in superminhash._by_rarest(members, bits, 80).collect():
+            by_key[r["key"]].append((r["node"], r["rest"]))
+        meet = {(a, b) for g in by_key.values() for a, ra in g for b, rb in g if a < b and 180 * min(ra, rb) >= 80 * (len(sets[a]) + len(sets[b]))}
+        assert linked <= meet
