@@ -4,11 +4,13 @@ The model's protobuf is parsed here; normaliser, white-space marker, merges or u
 byte fallback are rebuilt as a tokenizers pipeline, which encodes and decodes in multithreaded batches.
 Where no piece of the vocabulary crosses a place at which the marker follows another sign, texts are cut
 there, and a batch holds each distinct cut once; other models get whole texts. What the pipeline says is
-compared with the sentencepiece library: every distinct cut, and whole texts.
+compared with the sentencepiece library on every whole text, ids and decoding; where a caller has whole
+texts compared by a checksum only, every distinct cut is compared as well.
 """
 
 from __future__ import annotations
 
+import operator
 import os
 import struct
 import zlib
@@ -27,7 +29,7 @@ from .workspace import whole
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, bool], Coder] = {}
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -137,9 +139,10 @@ def tokenizer(model: Model):
 
 
 class Coder:
-    """Encodes and decodes with one model file, on ``threads`` threads."""
+    """Encodes and decodes with one model file, on ``threads`` threads. Distinct cuts are compared with the
+    library unless ``compare_cuts`` is false."""
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str, threads: int = 2, compare_cuts: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
@@ -149,6 +152,7 @@ class Coder:
         self.whole = tokenizer(self.model)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
+        self.compare_cuts = compare_cuts
         plain = not (self.model.charsmap or self.model.squeeze_spaces) and self.model.dummy_prefix
         crossing = any(MARK in p.lstrip(MARK) for p, _, k in self.model.pieces if k in (NORMAL, USER_DEFINED))
         #: Texts may be cut before markers.
@@ -165,13 +169,14 @@ class Coder:
         prefix, and the empty text gets none."""
         texts = [p[1:].decode() for p in pieces]
         out = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        theirs = self.library.encode(texts, num_threads=self.threads)
         for i, text in enumerate(texts):
             if not text:
                 out[i] = [t.id for t in self.whole.model.tokenize(MARK)]
-                theirs[i] = [self.library.piece_to_id(MARK)]
-            if out[i] != theirs[i]:
-                self.differing.add(pieces[i])
+        if self.compare_cuts:
+            theirs = self.library.encode(texts, num_threads=self.threads)
+            for i, text in enumerate(texts):
+                if out[i] != (theirs[i] if text else [self.library.piece_to_id(MARK)]):
+                    self.differing.add(pieces[i])
         return out
 
     @staticmethod
@@ -233,6 +238,16 @@ class Coder:
         bounds = np.concatenate([[0], to])[np.searchsorted(at, offsets)]
         return [data[a + 1 : b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
+    def texts_agree(self, texts: list[str], ids: np.ndarray, offsets: np.ndarray, decoded: list[str]) -> np.ndarray:
+        """Which whole texts have the library's ids ``ids[offsets[i]:offsets[i + 1]]``, and its decoding of these."""
+        own = [ids[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        out = np.fromiter(map(operator.eq, own, self.library.encode(texts, num_threads=self.threads)), bool, len(own))
+        filled = [i for i, x in enumerate(own) if x]
+        theirs = [""] * len(own)
+        for i, text in zip(filled, self.library.decode([own[i] for i in filled], num_threads=self.threads) if filled else [], strict=True):
+            theirs[i] = text
+        return out & np.fromiter(map(operator.eq, decoded, theirs), bool, len(own))
+
     def pieces_agree(self, block: tb.Block) -> np.ndarray:
         """Which texts of an encoded block have no cut on which the libraries differ."""
         out = np.ones(len(block), bool)
@@ -256,25 +271,25 @@ def _prefixed(block: tb.Block) -> tb.Block:
     return tb.Block(block.first, data, block.starts + shift - filled, block.ends + shift)
 
 
-def coder(path: str) -> Coder:
+def coder(path: str, compare_cuts: bool = True) -> Coder:
     """One coder, with its cache, for each worker and model file."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    if (path, compare_cuts) not in _coders:
+        _coders[path, compare_cuts] = Coder(path, compare_cuts=compare_cuts)
+    return _coders[path, compare_cuts]
 
 
-def encoded(docs: DataFrame, path: str, whole_one_in: int = 64) -> DataFrame:
+def encoded(docs: DataFrame, path: str, whole_one_in: int = 1) -> DataFrame:
     """The ids of every row's whole text, and what they decode to.
 
     Returns doc_id, ids array<int>, decoded string, parity boolean. Null and empty texts have no ids and
     decode to the empty text. ``parity`` says of every text whether the sentencepiece library has the same
-    ids: of each of its cuts, and of the whole text where it holds a marker of its own, can't be cut, or
-    is one of ``whole_one_in`` by a checksum; there decoding is compared too. Rows without an id and repeated
-    rows come back like any other; other columns are ignored.
+    ids for the whole text and decodes them to the same. With ``whole_one_in`` above 1, whole texts are compared
+    only if they hold a marker of their own, can't be cut, or are one of so many by a checksum, and of the others
+    the ids of each cut. Rows without an id and repeated rows come back like any other; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
+        c = coder(path, whole_one_in > 1)
         for batch in batches:
             # a marker in a text is what a space becomes
             texts = pc.replace_substring(batch.column(1), MARK, " ") if c.by_pieces else batch.column(1)
@@ -282,12 +297,15 @@ def encoded(docs: DataFrame, path: str, whole_one_in: int = 64) -> DataFrame:
             for block in tb.blocks(texts, ENCODE_BYTES):
                 ids, cut = c.encode_block(block)
                 decoded = c.decode_block(ids, cut)
-                raw = block.data.tobytes()
-                parity = c.pieces_agree(block) if c.by_pieces else np.ones(len(block), bool)
-                for i, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
-                    if not c.by_pieces or marked[block.first + i] or zlib.crc32(raw[a:b]) % whole_one_in == 0:
-                        own, text = ids[cut[i] : cut[i + 1]].tolist(), batch.column(1)[block.first + i].as_py() or ""
-                        parity[i] &= c.library.encode(text) == own and c.library.decode(own) == decoded[i] == c.decode([own])[0]
+                given = pc.fill_null(batch.column(1).slice(block.first, len(block)), "")
+                if whole_one_in == 1 or not c.by_pieces:
+                    parity = c.texts_agree(given.to_pylist(), ids, cut, decoded)
+                else:
+                    raw = block.data.tobytes()
+                    parity = c.pieces_agree(block)
+                    some = [zlib.crc32(raw[a:b]) % whole_one_in == 0 for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
+                    for i in np.flatnonzero(marked[block.first : block.first + len(block)] | np.array(some, bool)).tolist():
+                        parity[i] &= c.texts_agree([given[i].as_py()], ids[cut[i] : cut[i + 1]], np.array([0, cut[i + 1] - cut[i]]), [decoded[i]])[0]
                 arrays = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), arrays, pa.array(decoded, pa.string()), pa.array(parity, pa.bool_())], names=["doc_id", "ids", "decoded", "parity"])
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -113,3 +114,59 @@ def test_markers_of_a_text_are_compared_as_they_stand(spark, path):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     for i, t in enumerate(texts):
         assert got[i]["ids"] == library.encode(t) and got[i]["parity"] is True
+
+
+def test_whole_texts_that_differ_are_told(path):
+    texts = [f"text {i} of some words" for i in range(40)] + ["", None]
+    c = sp.Coder(path, compare_cuts=False)
+    own = c.library
+
+    class Other:
+        def encode(self, texts, **more):
+            return [[7] if t.startswith("text 3 ") else ids for t, ids in zip(texts, own.encode(texts, **more), strict=True)]
+
+        def decode(self, ids, **more):
+            return ["?" if t.startswith("text 5 ") else t for t in own.decode(ids, **more)]
+
+        def __getattr__(self, name):
+            return getattr(own, name)
+
+    c.library = Other()
+    block = next(tb.blocks(pa.array(texts)))
+    ids, cut = c.encode_block(block)
+    agree = c.texts_agree([t or "" for t in texts], ids, cut, c.decode_block(ids, cut))
+    assert np.flatnonzero(~agree).tolist() == [3, 5] and len(agree) == len(texts)
+
+
+def test_query_asks_the_library_for_every_whole_text(spark, path):
+    calls = []
+    own = sp.Coder(path, compare_cuts=False)
+    agree = own.texts_agree
+
+    def counted(texts, *more):
+        calls.extend(texts)
+        return agree(texts, *more)
+
+    class Docs:
+        """Runs the operator's batches here."""
+
+        columns = ["doc_id", "text"]
+
+        def __getitem__(self, name):
+            return spark.range(1).selectExpr("id as doc_id", "'' as text")[name]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]))
+
+    texts = [f"words of {i}" for i in range(200)] + [None, ""]
+    own.texts_agree = counted
+    sp._coders[path, False] = own
+    try:
+        out = sp.encoded(Docs(), path)
+    finally:
+        del sp._coders[path, False]
+    assert calls == [t or "" for t in texts]
+    assert all(p is True for b in out for p in b.column(3).to_pylist())
