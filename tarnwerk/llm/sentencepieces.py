@@ -14,6 +14,7 @@ import operator
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -185,8 +186,8 @@ class Coder:
         space = block.data == 0x20
         begins = space.copy()
         begins[1:] &= ~space[:-1]
-        begins[block.starts] = True
         begins[block.ends] = False
+        begins[block.starts[block.ends > block.starts]] = True
         starts = np.flatnonzero(begins)
         text = np.searchsorted(block.starts, starts, side="right") - 1
         ends = np.minimum(np.append(starts[1:], len(block.data)), block.ends[text])
@@ -219,23 +220,18 @@ class Coder:
         at = np.flatnonzero(first)
         cuts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(ids)) * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, np.uint32))])
         coded = pc.dictionary_encode(cuts)
-        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self._texts
         new = [x for x in distinct if x not in known]
         if len(known) + len(new) > CACHE_PIECES:
             known.clear()
             new = distinct
         # a cut's marker is the prefix that decoding takes away
-        for x, text in zip(new, self.decode([np.frombuffer(x, np.uint32).tolist() for x in new]), strict=True):
+        for x, text in zip(new, self.decode([array("I", x).tolist() for x in new]), strict=True):
             known[x] = b" " + text.encode()
-        got = [known[x] for x in distinct]
-        flat = np.frombuffer(b"".join(got), np.uint8)
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        begins = np.cumsum(n) - n
-        count = n[code]
-        to = np.cumsum(count)
-        data = flat[np.repeat(begins[code] - (to - count), count) + np.arange(to[-1])].tobytes()
-        bounds = np.concatenate([[0], to])[np.searchsorted(at, offsets)]
+        got = pa.array([known[x] for x in distinct], pa.large_binary()).take(coded.indices)
+        data = got.buffers()[2].to_pybytes()
+        bounds = np.frombuffer(got.buffers()[1], np.int64)[np.searchsorted(at, offsets)]
         return [data[a + 1 : b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def texts_agree(self, texts: list[str], ids: np.ndarray, offsets: np.ndarray, decoded: list[str]) -> np.ndarray:
@@ -261,14 +257,10 @@ class Coder:
 
 
 def _prefixed(block: tb.Block) -> tb.Block:
-    """The block with a space before each text that has any bytes."""
-    n = len(block)
-    filled = block.ends > block.starts
-    shift = np.cumsum(filled)
-    data = np.full(len(block.data) + int(shift[-1]), 0x20, np.uint8)
-    owner = np.repeat(np.arange(n), block.ends - block.starts + 1)
-    data[np.arange(len(block.data)) + shift[owner]] = block.data
-    return tb.Block(block.first, data, block.starts + shift - filled, block.ends + shift)
+    """The block with a space before each text that has any bytes: the separator of the text before."""
+    data = np.empty(len(block.data) + 1, np.uint8)
+    data[0], data[1:] = tb.SEPARATOR, block.data
+    return tb.Block(block.first, data, block.starts, block.ends + (block.ends > block.starts))
 
 
 def coder(path: str, compare_cuts: bool = True) -> Coder:
@@ -293,7 +285,6 @@ def encoded(docs: DataFrame, path: str, whole_one_in: int = 1) -> DataFrame:
         for batch in batches:
             # a marker in a text is what a space becomes
             texts = pc.replace_substring(batch.column(1), MARK, " ") if c.by_pieces else batch.column(1)
-            marked = pc.fill_null(pc.match_substring(batch.column(1), MARK), False).to_numpy(zero_copy_only=False)
             for block in tb.blocks(texts, ENCODE_BYTES):
                 ids, cut = c.encode_block(block)
                 decoded = c.decode_block(ids, cut)
@@ -302,9 +293,10 @@ def encoded(docs: DataFrame, path: str, whole_one_in: int = 1) -> DataFrame:
                     parity = c.texts_agree(given.to_pylist(), ids, cut, decoded)
                 else:
                     raw = block.data.tobytes()
+                    marked = pc.match_substring(given, MARK).to_numpy(zero_copy_only=False)
                     parity = c.pieces_agree(block)
                     some = [zlib.crc32(raw[a:b]) % whole_one_in == 0 for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)]
-                    for i in np.flatnonzero(marked[block.first : block.first + len(block)] | np.array(some, bool)).tolist():
+                    for i in np.flatnonzero(marked | np.array(some, bool)).tolist():
                         parity[i] &= c.texts_agree([given[i].as_py()], ids[cut[i] : cut[i + 1]], np.array([0, cut[i + 1] - cut[i]]), [decoded[i]])[0]
                 arrays = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), arrays, pa.array(decoded, pa.string()), pa.array(parity, pa.bool_())], names=["doc_id", "ids", "decoded", "parity"])

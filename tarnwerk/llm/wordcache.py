@@ -6,7 +6,7 @@ stands, so the batch's distinct pieces are looked up in a bounded cache and gath
 
 from __future__ import annotations
 
-import struct
+from array import array
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -44,7 +44,7 @@ class PieceEncoder:
         data = block.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pc.dictionary_encode(pieces)
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = coded.indices.to_numpy()
         known = self.known
         got = list(map(known.get, distinct))
@@ -53,7 +53,7 @@ class PieceEncoder:
             if len(known) + len(new) > self.cache_pieces:
                 known.clear()
             for i, ids in zip(new, self.encode([distinct[i] for i in new]), strict=True):
-                got[i] = known[distinct[i]] = struct.pack(f"={len(ids)}I", *ids)
+                got[i] = known[distinct[i]] = array("I", ids).tobytes()
         flat = np.frombuffer(b"".join(got), np.uint32)
         n = np.fromiter(map(len, got), np.int64, len(got)) // 4
         first = np.cumsum(n) - n

@@ -170,3 +170,29 @@ def test_query_asks_the_library_for_every_whole_text(spark, path):
         del sp._coders[path, False]
     assert calls == [t or "" for t in texts]
     assert all(p is True for b in out for p in b.column(3).to_pylist())
+
+
+def test_empty_texts_among_others(path):
+    c, library = sp.coder(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    some = ["", " ", "a", " a ", "a  ", "  b", None]
+    for texts in ([a, b, d] for a in some for b in some for d in some):
+        (block,) = tb.blocks(pa.array(texts, pa.string()))
+        ids, cut = c.encode_block(block)
+        assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [library.encode(t or "") for t in texts], texts
+        assert c.decode_block(ids, cut) == [t or "" for t in texts]
+
+
+def test_no_index_for_each_byte(path):
+    import tracemalloc
+
+    c = sp.Coder(path, compare_cuts=False)
+    (block,) = tb.blocks(pa.array(["internationalization of administrative responsibilities "] * 4000))
+    ids, cut = c.encode_block(block)
+    c.decode_block(ids, cut)
+    for work in (lambda: sp._prefixed(block), lambda: c.decode_block(ids, cut)):
+        tracemalloc.start()
+        try:
+            work()
+            assert tracemalloc.get_traced_memory()[1] < 8 * len(block.data)
+        finally:
+            tracemalloc.stop()
